@@ -99,7 +99,10 @@ def verdict(rules: Sequence[Rule] = RULES) -> Column:
 def judge(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`keep`, the measures, base_failed and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measures(df, text, keep).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    # The row number is always there; it keeps a later filter from being moved below the projection, where the
+    # optimiser would put whole word lists inside lambdas.
+    passed = ~F.col("base_failed") & verdict(rules) & (F.monotonically_increasing_id() >= 0)
+    return measures(df, text, keep).withColumn("base_failed", failed).withColumn("kept", passed)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
