@@ -28,7 +28,8 @@ def categories(m: Column, names: Sequence[str]) -> Column:
     """struct(flags: the names' booleans in order, n: how many were found, ok): any true spelling of a name wins."""
     entries = F.transform(F.map_entries(m), lambda e: F.struct(canonical(e["key"], names).alias("k"), to_bool(e["value"], default=False).alias("v")))
     known = F.filter(entries, lambda e: e["k"].isNotNull())
-    flags = F.array(*(F.exists(known, lambda e, n=n: (e["k"] == n) & e["v"]) for n in names))
+    hit = lambda n: F.exists(known, lambda e: (e["k"] == n) & e["v"])
+    flags = F.array(*(hit(n) for n in names))
     return F.struct(flags.alias("flags"), F.size(F.array_distinct(F.transform(known, lambda e: e["k"]))).alias("n"), m.isNotNull().alias("ok"))
 
 
