@@ -99,8 +99,7 @@ def in_order(df: DataFrame, n: int | None = None) -> DataFrame:
     at_border = F.col("doc_id").isin(borders) if borders else F.lit(False)
     spots = F.array_compact(F.array(F.struct(home.alias("part"), F.lit(False).alias("guest")), F.when(at_border, F.struct((home - 1).alias("part"), F.lit(True).alias("guest"))), F.when(first, F.struct(F.lit(last).alias("part"), F.lit(True).alias("guest")))))
     dealt = df.withColumn("_s", F.explode(spots)).select("*", F.col("_s.part").cast("int").alias("part"), F.col("_s.guest").alias("guest")).drop("_s")
-    # Where the first row is also the guest of the last range and of the range before a border, the border comes first.
-    return dealt.repartitionById(last + 1, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_last(), "text")
+    return dealt.repartitionById(last + 1, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def edited(df: DataFrame) -> DataFrame:
