@@ -146,7 +146,7 @@ class Codec:
             raise ValueError("a piece crosses a marker or a line end; parts can't be encoded alone")
         one_kind = re.compile(r"[^\W\d_]*|[\W\d_]*")
         self.parts = (self.FINE if self.model.kind == BPE and all(map(one_kind.fullmatch, bodies)) else self.COARSE).findall
-        #: Parts without a marker are encoded after a line end, whose ids are then taken off.
+        #: Parts without a marker, or of markers only, are encoded after a line end, whose ids are then taken off.
         self.lead = self.reference.encode("\n")
         surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(self.model.pieces, self.model.types)]
         self.bytes = np.frombuffer(b"".join(surface), np.uint8)
@@ -161,8 +161,8 @@ class Codec:
 
     def _learn(self, parts: list[str]) -> None:
         """Encodes parts in one multithreaded batch and holds each against sentencepiece."""
-        bare = [bool(self.model.dummy_prefix and p[0] != MARK) for p in parts]
-        raw = ["\n" + p if x else p.replace(MARK, " ") for p, x in zip(parts, bare)]
+        bare = [bool(self.model.dummy_prefix and (p[0] != MARK or not p.strip(MARK))) for p in parts]
+        raw = ["\n" * x + p.replace(MARK, " ") for p, x in zip(parts, bare)]
         texts = [r[1:] if self.model.dummy_prefix and r[0] == " " else r for r in raw]
         mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         right = self.reference.encode(texts)
