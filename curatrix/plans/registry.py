@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from curatrix.plans import curation, evaluation, parsing, sampling  # noqa: F401
+    from curatrix.plans import curation, evaluation, pairs, parsing, sampling  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
