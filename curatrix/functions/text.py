@@ -95,7 +95,7 @@ def whole_number(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Items between ; or , that are not in brackets (one level)."""
-    return F.filter(F.transform(F.split(c, r"[;,](?![^(\[]*[)\]])"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(?:[^;,(\[]++|[(\[][^)\]]*+[)\]]?)++"), 0), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def band(c: Column, edges: Sequence[tuple[float, str]], last: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.operators import pairs, sample, search
+from curatrix.operators import pairs, sample, search, twins
 from curatrix.plans.registry import query
 
 _K = ("der", "les", "que", "the")
@@ -146,3 +146,20 @@ def tfidf_probe(t):
     d = t.documents.join(t.labels.where("quality is not null"), "doc_id").withColumn("out", F.crc32(F.col("doc_id").cast("string")) % 4 == 0)
     got = search.probe(d.where("not out"), d.where("out"), "doc_id", "text", "quality")
     return got.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
+
+
+_WORDS = {"de": ("der", "und"), "fr": ("les", "est"), "es": ("que", "los"), "en": ("the", "and")}
+_HAS = lambda x: "CASE lang " + " ".join(f"WHEN '{k}' THEN " + " OR ".join(f"contains(lower({x}), '{w}')" for w in ws) for k, ws in _WORDS.items()) + " END"
+
+
+@query(
+    "WITH d AS (SELECT doc_id, lang, source, text FROM documents WHERE lang IN (" + ", ".join(f"'{k}'" for k in _WORDS) + ") AND NOT regexp_matches(coalesce(text, ''), '[\\[\\]()]')), "
+    f"k AS (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[;,]'), lambda y: trim(y, ' ')), lambda x: x <> '' AND NOT ({_HAS('x')})), '; ') AS kept FROM d), "
+    f"t AS (SELECT d.doc_id, lang, source, CASE WHEN {_HAS('text')} THEN coalesce(nullif(kept, ''), 'None') ELSE text END AS text FROM d LEFT JOIN k ON d.doc_id = k.doc_id) "
+    "SELECT doc_id::VARCHAR AS doc_id, 'original' AS role, source, md5(text) AS digest FROM d UNION ALL SELECT doc_id || 'c', 'counterfactual', CASE WHEN lang = 'en' THEN 'neutral' ELSE source END, md5(text) FROM t"
+)
+def counterfactual_twins(t):
+    """Languages stand in for risks, sentences for profile lists."""
+    d = t.documents.where(F.col("lang").isin(*_WORDS) & ~F.coalesce("text", F.lit("")).rlike(r"[\[\]()]")).select("doc_id", "lang", "source", "text")
+    made = twins.make(d, "doc_id", "lang", _WORDS, {"en": {"source": "neutral"}}, {"text": "None"})
+    return twins.interleave(d, made, "doc_id", "lang").select("doc_id", F.col("Sample_Role").alias("role"), "source", F.md5("text").alias("digest"))
