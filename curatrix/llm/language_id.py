@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curatrix.llm import kernels as K
-from curatrix.llm.common import crc_mod, spill, table
+from curatrix.llm.common import crc_mod, least, spill, table
 from curatrix.llm.sentencepiece_codec import MARK, MODEL, NORMAL, parse
 
 #: Bounds of what is learned from: labelled texts a language, and rounds of expectation maximisation.
@@ -147,8 +146,8 @@ def split_words(text: str) -> list[str]:
 def sample(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE) -> DataFrame:
     """At most `per_language` labelled texts of each language (more only where one id repeats), by the hash of their ids."""
     ok = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (crc_mod(df["doc_id"], 4) != 2)).withColumn("_h", F.xxhash64("doc_id", F.lit("language-sample")))
-    w = Window.partitionBy(lang).orderBy("_h")
-    limits = ok.select(lang, "_h").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language).groupBy(lang).agg(F.max("_h").alias("_m")).collect()
+    # One row for each language, of which the model has a column each.
+    limits = least(ok.select(lang, "_h"), lang, "_h", per_language).groupBy(lang).agg(F.max("_h").alias("_m")).collect()
     keep = F.lit(False)
     for r in limits:
         keep |= (F.col(lang) == r[0]) & (F.col("_h") <= r[1])

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curatrix.llm import kernels as K
-from curatrix.llm.common import crc_mod, table, text_of
+from curatrix.llm.common import crc_mod, least, table, text_of
 
 #: Bounds of the sample learned from: documents of each label. Steps and rate of the ascent; weight decay.
 SAMPLE, STEPS, RATE, DECAY = 1500, 150, 0.1, 1e-3
@@ -158,7 +157,7 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS)
 def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFrame:
     """(text, quality) of at most `each` labelled documents of either label, by the hash of their ids."""
     ok = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(labels["doc_id"], 5) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = ok.withColumn("_r", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit("quality-sample"))))).where(F.col("_r") <= each).drop("_r")
+    chosen = least(ok.withColumn("_h", F.xxhash64("doc_id", F.lit("quality-sample"))), "quality", "_h", each).select("doc_id", "quality")
     # At most 2 * each ids: bounded by the parameter.
     return docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
 
