@@ -5,6 +5,8 @@ weight to random registers, in rounds; a shingle stops once its next arrival is
 document (early termination). Two signatures agree in a register with the probability Jaccard of the weighted sets.
 
 1. Exact copies (equal texts) become one vertex before anything else, so groups of copies cost one text.
+   Texts in which a shingle recurs are signed a second time as plain sets (all weights 1), as verification is by sets and
+   very unequal counts would hide a link; for all other texts the two signatures are the same.
 2. Bands of five registers give buckets. Within a bucket only pairs whose signatures agree enough are kept, and of these
    only a spanning forest: no list of pairs is made. Texts connected by such links form a cell.
 3. Cells are verified on their whole texts: a document is compared with all others of its cell at once by an inverted
@@ -88,25 +90,31 @@ def text_key(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, tk (the text's md5), chars, bands and sig of every row; bands and sig are null for texts without words."""
+    """doc_id, tk (the text's md5), chars and the signatures of every row: bands and sig by counts, and as a plain set where
+    that differs (else null: plain_bands and plain_sig). All are null for texts without words."""
+
+    def signed(w: np.ndarray, at: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+        """Bands and shortened registers of the rows `at`, null elsewhere."""
+        band = np.zeros((len(at), BANDS), np.uint64)
+        for j in range(ROWS):
+            band = K.mix(band * K.U(0xC2B2AE3D27D4EB4F) + w[:, j::ROWS])
+        bands, sigs = [None] * n, [None] * n
+        for i, b, s in zip(at.tolist(), band.view(np.int64).tolist(), (K.mix(w) >> K.U(48)).astype(np.uint16)):
+            bands[i], sigs[i] = b, s.tobytes()
+        return pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in K.chunks(it):
             n = rows.num_rows
             doc, value, count = shingles(buf, offs)
-            w = prob_min_hash(doc, value, count.astype(np.float64), n)
-            none = np.ones(n, bool)
-            none[doc] = False
-            band = np.zeros((n, BANDS), np.uint64)
-            for j in range(ROWS):
-                band = K.mix(band * K.U(0xC2B2AE3D27D4EB4F) + w[:, j::ROWS])
-            sig = (K.mix(w) >> K.U(48)).astype(np.uint16)
-            bands = pa.array([None if x else b for x, b in zip(none, band.view(np.int64).tolist())], pa.list_(pa.int64()))
-            sigs = pa.array([None if x else s.tobytes() for x, s in zip(none, sig)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(offs)), bands, sigs], ["doc_id", "tk", "chars", "bands", "sig"])
+            some, again = np.unique(doc), np.unique(doc[count > 1])
+            mine = np.isin(doc, again)
+            full = signed(prob_min_hash(np.searchsorted(some, doc), value, count.astype(np.float64), len(some)), some, n)
+            plain = signed(prob_min_hash(np.searchsorted(again, doc[mine]), value[mine], np.ones(int(mine.sum())), len(again)), again, n)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(offs)), *full, *plain], ["doc_id", "tk", "chars", "bands", "sig", "plain_bands", "plain_sig"])
 
     t = text_of(docs)
-    return docs.select("doc_id", text_key(t).alias("tk"), t.alias("text")).mapInArrow(run, "doc_id long, tk binary, chars long, bands array<long>, sig binary")
+    return docs.select("doc_id", text_key(t).alias("tk"), t.alias("text")).mapInArrow(run, "doc_id long, tk binary, chars long, bands array<long>, sig binary, plain_bands array<long>, plain_sig binary")
 
 
 class Forest:
@@ -249,10 +257,13 @@ def links_of_cells(texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tk) of docs, and for each text (tk) its class: class_id, class_tk, class_size, n_copies."""
     rows = spill(signatures(docs.select("doc_id", "text")), "near-signatures")
-    texts = spill(rows.groupBy("tk").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("n_copies"), F.first("chars").alias("chars"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-texts")
-    banded = texts.where("bands is not null").select("tk", F.posexplode("bands").alias("band", "value")).select("tk", F.xxhash64("band", "value").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = banded.join(shared, "key", "left_semi").join(texts.select("tk", "sig"), "tk")
+    texts = spill(rows.groupBy("tk").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("n_copies"), F.first("chars").alias("chars"), *(F.first(c).alias(c) for c in ("bands", "sig", "plain_bands", "plain_sig"))), "near-texts")
+    signed = texts.select("tk", F.explode(F.array(F.struct(F.lit(False).alias("plain"), "bands", "sig"), F.struct(F.lit(True).alias("plain"), F.col("plain_bands").alias("bands"), F.col("plain_sig").alias("sig")))).alias("s")).select("tk", "s.*").where("bands is not null")
+    banded = signed.select("tk", "plain", F.posexplode("bands").alias("band", "value")).select("tk", "plain", F.xxhash64("band", "value").alias("key"))
+    # Buckets of two texts or more; the two signatures of one text don't make one.
+    who = F.xxhash64("tk")
+    shared = banded.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo < hi").select("key")
+    members = banded.join(shared, "key", "left_semi").join(signed.select("tk", "plain", "sig"), ["tk", "plain"])
     cells = components(links_of_buckets(members), "near-cells")
     # Cells with their blocks, then the texts of their members (one row for each text).
     inside = cells.join(texts.select(F.col("tk").alias("v"), "rid", "chars"), "v")

@@ -145,6 +145,18 @@ def test_near_dedup(spark, docs):
     assert near_dedup.stage(spark, docs, "").count() == len(groups)
 
 
+def test_links_hold_however_often_shingles_recur(spark):
+    """Sets that agree although the counts of a few shingles differ a hundredfold; and classes of several sizes."""
+    base = [sentence(EN, 60) for _ in range(30)]
+    loop = " ".join(sentence(EN, 9) for _ in range(1))
+    texts = [t + " " + loop for t in base] + [t + (" " + loop) * 120 for t in base]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    label = components(texts)
+    size = Counter(label)
+    assert size[label[0]] > 1
+    assert Counter((r.doc_id, r.class_size) for r in near_dedup.membership(docs).collect()) == Counter((i, size[g]) for i, g in enumerate(label))
+
+
 def kept_words(texts, window=35):
     words = [WORD.findall(t or "") for t in texts]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
