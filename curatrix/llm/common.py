@@ -64,6 +64,18 @@ def least(df: DataFrame, group: str, rank: str, n: int) -> DataFrame:
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(rank))).where(F.col("_r") <= n)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], often: int, most: int = 10_000) -> DataFrame:
+    """rows joined with counted: a written table of one row a key, with `n`, how many of the rows have that key.
+
+    Keys of over `often` rows meet their rows by broadcast, so a hot key stays where its rows are. They are at most
+    `most`, as `often` is raised to one part in `most` of all rows; no other key has more rows than that.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = max(often, -(-total // most))
+    heavy, light = F.broadcast(counted.where(F.col("n") > often)), counted.where(F.col("n") <= often)
+    return rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on).unionByName(rows.join(heavy, on))
+
+
 def components(edges: DataFrame, name: str = "components", small: int = 100_000) -> DataFrame:
     """Smallest vertex reachable over the edges (a, b): one row (v, c) for each vertex that has an edge.
 

@@ -18,7 +18,7 @@ Every step's work grows with the texts; an automaton only meets segments that sh
 streamed through all shards.
 
 Defined results: a null text has no words. Words are cut at the six ASCII blanks and kept unchanged. Rows of one id are
-told apart by their texts; a repeated row counts as another occurrence. A null id is kept. An empty table gives an empty
+told apart by their texts; a repeated row counts as another occurrence. A null id is kept; its rows go by their texts. An empty table gives an empty
 table. Other columns are carried by `stage` only.
 """
 
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernels as K
-from curatrix.llm.common import fresh_path, partitions, spill, table, text_of
-from curatrix.llm.near_dedup import NO_ID, _edges, _groups
+from curatrix.llm.common import fresh_path, join_counted, partitions, spill, table, text_of
+from curatrix.llm.near_dedup import _edges, _groups
 
 WINDOW, ANCHOR = 35, 8
 #: An anchor with more occurrences is split by window. Characters of the segments of a shard.
@@ -79,7 +79,7 @@ class Text:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, kid (the id, or a stand-in for null), th (the text's hash), n_words, full_sha256 and the anchors of each row."""
+    """doc_id, kid (the id, or the text's hash where that is null), th (the text's hash), n_words, full_sha256 and the anchors of each row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in K.chunks(it):
@@ -90,15 +90,15 @@ def anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.diff(t.first)), pa.array(sha), pa.ListArray.from_arrays(pa.array(cut), pa.array(t.anchor))], ["doc_id", "kid", "th", "n_words", "full_sha256", "anchors"])
 
     t = text_of(docs)
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("kid"), F.xxhash64(t).alias("th"), t.alias("text"))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64(t)).alias("kid"), F.xxhash64(t).alias("th"), t.alias("text"))
     return keyed.mapInArrow(run, "doc_id long, kid long, th long, n_words long, full_sha256 string, anchors array<long>")
 
 
 def repeated(marks: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """kid and its repeated anchors: `found`, and those among them that are very frequent: `hot`."""
     each = marks.select("kid", F.explode("anchors").alias("anchor"))
-    counts = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > frequent).alias("is_hot"))
-    return each.join(counts, "anchor").groupBy("kid").agg(F.collect_set("anchor").alias("found"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
+    counts = spill(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "phrase-counts")
+    return join_counted(each, counts, ["anchor"], frequent).groupBy("kid").agg(F.collect_set("anchor").alias("found"), F.collect_set(F.when(F.col("n") > frequent, F.col("anchor"))).alias("hot"))
 
 
 def segments(held: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def locate(automaton, text: str) -> list[int]:
 
 
 def occurrences(found: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """found: gkey, sid, seg, n. The places of confirmed passages in each segment: gkey, sid, spans (words from, to, ...)."""
+    """found: gkey, sid, seg, n. The places of confirmed passages in each segment: gkey, sid, n, spans (words from, to, ...)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -204,24 +204,24 @@ def occurrences(found: DataFrame, window: int = WINDOW, shard: int = SHARD) -> D
                         automaton.add_word(text[i:j], j - i)
                 if len(automaton):
                     automaton.make_automaton()
-                    rows += [(g, s, spans) for g, s, text in zip(gkey[a:b], sid[a:b], seg[a:b]) if (spans := locate(automaton, text))]
+                    rows += [(g, s, k, spans) for g, s, k, text in zip(gkey[a:b], sid[a:b], n[a:b], seg[a:b]) if (spans := locate(automaton, text))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["gkey", "sid", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["gkey", "sid", "n", "spans"])
 
     n = partitions(found.sparkSession)
-    return found.select("gkey", "sid", "seg", "n").repartition(n, "gkey").sortWithinPartitions("gkey").mapInArrow(run, "gkey long, sid long, spans array<int>")
+    return found.select("gkey", "sid", "seg", "n").repartition(n, "gkey").sortWithinPartitions("gkey").mapInArrow(run, "gkey long, sid long, n long, spans array<int>")
 
 
-def removals(docs: DataFrame, marks: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, marks: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """kid, th, n_removed and kept (the other words, joined by one space) of the texts that lose words."""
     # Only documents with a repeated anchor are written; the columns kid and th tell rows of one id apart.
     t = text_of(docs)
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kid"), F.xxhash64(t).alias("th"), t.alias("text"))
-    held = _packed(texts.join(repeated(marks), "kid"), "phrase-texts")
+    texts = docs.select(F.coalesce("doc_id", F.xxhash64(t)).alias("kid"), F.xxhash64(t).alias("th"), t.alias("text"))
+    held = _packed(texts.join(repeated(marks, frequent), "kid"), "phrase-texts")
     parts = _packed(segments(held), "phrase-segments")
     counted = parts.groupBy("gkey", "sid", "seg").agg(F.count(F.lit(1)).alias("n"))
-    spans = occurrences(counted)
-    located = parts.select("gkey", "sid", "kid", "th", "at").join(spans, ["gkey", "sid"])
+    spans = spill(occurrences(counted), "phrase-spans")
+    located = join_counted(parts.select("gkey", "sid", "kid", "th", "at"), spans, ["gkey", "sid"], frequent)
     placed = located.select("kid", "th", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
     by_text = placed.groupBy("kid", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -252,9 +252,9 @@ def _packed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     marks = spill(anchors(docs), "phrase-anchors")
-    lost = removals(docs, marks).select("kid", "th", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("sha"))
+    lost = removals(docs, marks, frequent).select("kid", "th", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("sha"))
     joined = marks.drop("anchors").join(lost, ["kid", "th"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "full_sha256").alias("kept_sha256"))
 
@@ -264,7 +264,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = spill(anchors(docs), "phrase-anchors")
     lost = spill(removals(docs, marks), "phrase-kept")
     t = text_of(docs)
-    keyed = docs.withColumn("_kid", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_th", F.xxhash64(t))
+    keyed = docs.withColumn("_kid", F.coalesce("doc_id", F.xxhash64(t))).withColumn("_th", F.xxhash64(t))
     joined = keyed.join(lost.select(F.col("kid").alias("_kid"), F.col("th").alias("_th"), F.col("n_removed").alias("_n"), F.col("kept").alias("_kept")), ["_kid", "_th"], "left")
     text = F.coalesce("_kept", "text").alias("text")
     rest = [text if c == "text" else F.when(F.col("_n").isNull(), F.col(c)).otherwise(F.length("_kept").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

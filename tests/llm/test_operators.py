@@ -168,7 +168,7 @@ def kept_words(texts, window=35):
         yield w, [x for x, g in zip(w, gone) if not g]
 
 
-def test_phrase_automata(spark, docs, monkeypatch):
+def test_phrase_automata(spark, docs):
     rows = docs.collect()
     want = Counter((r.doc_id, len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for r, (w, k) in zip(rows, kept_words([r.text for r in rows])))
     assert Counter(map(tuple, phrase_automata.report(docs).collect())) == want
@@ -176,12 +176,11 @@ def test_phrase_automata(spark, docs, monkeypatch):
     assert texts == Counter(r.text if len(w) == len(k) else " ".join(k) for r, (w, k) in zip(rows, kept_words([r.text for r in rows])) if k or not w)
 
 
-def test_frequent_anchors_are_split_exactly(docs, monkeypatch):
+def test_frequent_anchors_are_split_exactly(docs):
     rows = docs.collect()
     want = Counter(len(w) - len(k) for w, k in kept_words([r.text for r in rows]))
-    real = phrase_automata.repeated
-    monkeypatch.setattr(phrase_automata, "repeated", lambda marks: real(marks, frequent=2))
-    assert Counter(r.n_removed for r in phrase_automata.report(docs).collect()) == want
+    for frequent in (0, 2, 5):
+        assert Counter(r.n_removed for r in phrase_automata.report(docs, frequent).collect()) == want
 
 
 def test_warc(spark):
