@@ -168,14 +168,15 @@ class Codec:
         right = self.reference.encode(texts)
         agree = np.fromiter(map(eq, mine, right), bool, len(parts))
         cut = len(self.lead)
-        right = [b[cut:] if x else b for b, x in zip(right, bare)]
-        sizes = np.fromiter(map(len, right), np.int64, len(parts))
+        # The pipeline's own ids; sentencepiece's only for a part on which the two differ.
+        chosen = [(a if ok else b)[cut * x :] for a, b, ok, x in zip(mine, right, agree, bare)]
+        sizes = np.fromiter(map(len, chosen), np.int64, len(parts))
         n, total = len(self.known), int(sizes.sum())
         while n + len(parts) > len(self.begin):
             self.begin, self.sizes, self.same = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.sizes, self.same))
         while self.used + total > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(right), np.int32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(chosen), np.int32, total)
         at = slice(n, n + len(parts))
         self.begin[at], self.sizes[at], self.same[at] = self.used + np.cumsum(sizes) - sizes, sizes, agree
         self.known.update(zip(parts, range(n, n + len(parts))))
