@@ -53,10 +53,10 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def least(df: DataFrame, group: str, rank: str, n: int) -> DataFrame:
     """The n rows of least rank (hashes, as long) of each group, with `_r` from 1; for few groups of any size.
 
-    The upper 16 bits of the ranks are counted first, so that only rows of the buckets up to that of the n-th are
-    sorted: n and one part in 65,536 of the group.
+    The upper 12 bits of the ranks are counted first, so that only rows of the buckets up to that of the n-th are
+    sorted: n and one part in 4,096 of the group.
     """
-    bucket = F.shiftright(rank, 48)
+    bucket = F.shiftright(rank, 52)
     counts = df.groupBy(group, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_b")) - F.col("_n")
     last = counts.withColumn("_before", before).where(F.col("_before") < n).groupBy(group).agg(F.max("_b").alias("_last"))
