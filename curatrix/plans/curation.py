@@ -115,9 +115,16 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, l
 SELECT a, b, round(1.0 * i / (na + nb - i), 6) AS jaccard FROM p WHERE i >= 0.92 * (na + nb - i)""")
 def near_duplicate_jaccard(t):
     links, member = dedup.near_pairs(t.documents.where("text is not null"), "doc_id", text.token_set(F.col("text")), 0.92, "lang")
-    head = member.groupBy("sid").agg(F.min("doc_id").alias("head"))
-    named = links.join(head.select(F.col("sid").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("sid").alias("b"), F.col("head").alias("hb")), "b")
-    return named.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+    return dedup.named_links(links, member, "doc_id")
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), o AS (SELECT t, min(doc_id) AS doc_id FROM s WHERE len(t) > 0 GROUP BY t),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM o a JOIN o b ON a.doc_id < b.doc_id AND least(len(a.t), len(b.t)) >= 0.92 * greatest(len(a.t), len(b.t)))
+SELECT a, b, round(1.0 * i / (na + nb - i), 6) AS jaccard FROM p WHERE i >= 0.92 * (na + nb - i)""")
+def near_duplicate_links(t):
+    """near_duplicate_jaccard over all rows, whatever their language."""
+    links, member = dedup.near_pairs(t.documents.where("text is not null"), "doc_id", text.token_set(F.col("text")), 0.92)
+    return dedup.named_links(links, member, "doc_id")
 
 
 _SPLIT = "CASE WHEN CAST('0x' || substr(md5('split:' || doc_id), 1, 8) AS BIGINT) % 100 < 75 THEN 'train' WHEN CAST('0x' || substr(md5('split:' || doc_id), 1, 8) AS BIGINT) % 100 < 85 THEN 'validation' ELSE 'test' END"
