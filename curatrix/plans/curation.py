@@ -127,6 +127,18 @@ def near_duplicate_links(t):
     return dedup.named_links(links, member, "doc_id")
 
 
+@query(f"""WITH s AS (SELECT doc_id, text, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), k AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS text_head FROM s WHERE len(t) > 0),
+o AS (SELECT t, min(doc_id) AS head, count(DISTINCT text) AS n_texts FROM k GROUP BY t),
+p AS (SELECT a.head AS a, b.head AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM o a JOIN o b ON a.head < b.head AND least(len(a.t), len(b.t)) >= 0.92 * greatest(len(a.t), len(b.t))),
+l AS (SELECT a, b FROM p WHERE i >= 0.92 * (na + nb - i)), e AS (SELECT h, count(*) AS n FROM (SELECT a AS h FROM l UNION ALL SELECT b FROM l) GROUP BY h)
+SELECT doc_id, text_head, head, n_texts, coalesce(n, 0) AS n_links FROM k JOIN o USING (t) LEFT JOIN e ON h = head""")
+def near_duplicate_members(t):
+    """Each document's text, its token set and the links of that set in near_duplicate_links: with those, all pairs."""
+    d = t.documents.where("text is not null").withColumn("text_key", F.xxhash64("text"))
+    links, member = dedup.near_pairs(d, "doc_id", text.token_set(F.col("text")), 0.92, keep=("text_key",))
+    return dedup.members(links, member, "doc_id", "text_key")
+
+
 _SPLIT = "CASE WHEN CAST('0x' || substr(md5('split:' || doc_id), 1, 8) AS BIGINT) % 100 < 75 THEN 'train' WHEN CAST('0x' || substr(md5('split:' || doc_id), 1, 8) AS BIGINT) % 100 < 85 THEN 'validation' ELSE 'test' END"
 
 
