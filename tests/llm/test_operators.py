@@ -253,3 +253,18 @@ def test_sentencepiece(docs):
     ref = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     for r in sentencepiece_codec.encode(docs).collect():
         assert r.parity and r.round_trip and list(r.token_ids) == ref.encode(r.text or "") and r.n_tokens == len(r.token_ids)
+
+
+def test_sentencepiece_reports_a_wrong_rebuild():
+    """Ids and texts are the pipeline's own: with a wrong one they differ from sentencepiece's, and parity says so."""
+    from pathlib import Path
+
+    texts = ["the water of the stone house", "", " two  blanks ", "é ü\tß\n😀"]
+    good, bad = (sentencepiece_codec.Codec(Path(sentencepiece_codec.MODEL).read_bytes()) for _ in range(2))
+    ids, counts, parity = good.encode(texts)
+    assert parity.all() and good.decode(ids, counts) == texts and ids.tolist() == [x for t in good.reference.encode(texts) for x in t]
+    bad.tokenizer = sentencepiece_codec.backend(bad.model._replace(types=[sentencepiece_codec.UNUSED if p == "▁water" else t for p, t in zip(bad.model.pieces, bad.model.types)]))
+    other, counts, parity = bad.encode(texts)
+    assert not parity[0] and parity[1] and bad.decode(other, counts) == texts and other.tolist() != ids.tolist()
+    good.tokenizer.decoder = sentencepiece_codec.backend(good.model._replace(dummy_prefix=False)).decoder
+    assert good.decode(*good.encode(texts)[:2])[0] == " " + texts[0]
