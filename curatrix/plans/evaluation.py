@@ -164,19 +164,39 @@ def _indexed(t):
     return t.labels.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("quality").cast("double").alias("x"), F.col("toxic").cast("double").alias("y"))
 
 
-_B = "n AS (SELECT count(*) AS n FROM labels), r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality AS x, toxic AS y FROM labels), d AS (SELECT b, CAST('0x' || substr(md5('{s}:' || b || ':' || k), 1, 8) AS BIGINT) % n AS i FROM n, (SELECT unnest(range(0, 100)) AS b), unnest(range(0, n)) AS u(k))"
+_B = "n AS (SELECT count(*) AS n FROM labels), r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality AS x, toxic AS y FROM labels), d AS (SELECT b, CAST('0x' || substr(md5('{s}:' || b || ':' || k), 1, 8) AS BIGINT) % n AS i FROM n, (SELECT unnest(range(0, {b})) AS b), unnest(range(0, n)) AS u(k))"
 
 
-@query(f"WITH {_B.format(s='ci')}, m AS (SELECT b, avg(x) AS m FROM d JOIN r USING (i) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS resamples FROM m")
+def _ci(b: int) -> str:
+    return f"WITH {_B.format(s='ci', b=b)}, m AS (SELECT b, avg(x) AS m FROM d JOIN r USING (i) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS resamples FROM m"
+
+
+def _pair(b: int) -> str:
+    return f"WITH {_B.format(s='pair', b=b)}, m AS (SELECT b, avg(x - y) AS m FROM d JOIN r USING (i) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM m"
+
+
+@query(_ci(100))
 def bootstrap_ci(t):
     return resample.mean_ci(_indexed(t), t.labels.count(), "x", 100, "ci")
 
 
-@query(f"WITH {_B.format(s='pair')}, m AS (SELECT b, avg(x - y) AS m FROM d JOIN r USING (i) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM m")
+@query(_ci(1000))
+def bootstrap_ci_1000(t):
+    """With the reference's number of resamples for metrics."""
+    return resample.mean_ci(_indexed(t), t.labels.count(), "x", 1000, "ci")
+
+
+@query(_pair(100))
 def paired_bootstrap(t):
     return resample.paired_delta(_indexed(t), t.labels.count(), "x", "y", 100, "pair")
 
 
+@query(_pair(2000))
+def paired_bootstrap_2000(t):
+    """With the reference's number of resamples for paired differences."""
+    return resample.paired_delta(_indexed(t), t.labels.count(), "x", "y", 2000, "pair")
+
+
 @query(f"WITH {_J} SELECT count(*) FILTER (WHERE g = p AND g <> (quality = 0)) AS only_a, count(*) FILTER (WHERE g <> p AND g = (quality = 0)) AS only_b, count(*) FILTER (WHERE g = p AND g = (quality = 0)) AS both, count(*) FILTER (WHERE g <> p AND g <> (quality = 0)) AS neither FROM j")
 def flip_counts(t):
     a, b = F.col("g") == F.col("p"), F.col("g") == (F.col("quality") == 0)
