@@ -1,12 +1,13 @@
 """A search for a group-disjoint split: many hashed restarts scored at once, then moves and swaps.
 
 The restarts are rows (group x restart) that aggregate on the map side to three rows a restart, so their cost is linear
-in the groups. The moves work on the few hundred largest groups, an exact bound; smaller ones keep their place.
+in the groups. The moves and swaps see all groups, whose rows come to the driver (one a group).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +63,9 @@ def _objective(np, size, pos, unsafe, shares):
     )
 
 
-def improve(stats: DataFrame, assigned: DataFrame, group: str, shares: Sequence[float] = SHARES, movable: int = 400, sweeps: int = 4) -> DataFrame:
-    """Moves and swaps of the `movable` largest groups (ties by group), while the objective falls; at most that many
-    rows and the three parts' totals come to the driver, whatever the number of groups."""
+def improve(stats: DataFrame, assigned: DataFrame, group: str, shares: Sequence[float] = SHARES, movable: int | None = None, sweeps: int = 4) -> DataFrame:
+    """Moves and swaps of all groups, or of the `movable` largest (ties by group), while the objective falls. Swaps are tried
+    with the next eight by size, and between as many pairs drawn from all of them as there are groups, in each sweep."""
     import numpy as np
 
     spark = stats.sparkSession
@@ -76,7 +77,8 @@ def improve(stats: DataFrame, assigned: DataFrame, group: str, shares: Sequence[
     size, unsafe, pos = np.zeros(3), np.zeros(3), np.zeros((3, k))
     for p, r in held.items():
         size[p], unsafe[p], pos[p] = r["n"], r["unsafe"], r["pos"]
-    some = both.orderBy(F.desc("n"), group).limit(movable).collect()
+    ordered = both.orderBy(F.desc("n"), group)
+    some = (ordered if movable is None else ordered.limit(movable)).collect()
     part = [r["part"] for r in some]
     vec = [(r["n"], r["unsafe"], np.array(r["pos"], float)) for r in some]
 
@@ -88,7 +90,7 @@ def improve(stats: DataFrame, assigned: DataFrame, group: str, shares: Sequence[
         part[i] = to
 
     best = _objective(np, size, pos, unsafe, shares)
-    for _ in range(sweeps):
+    for sweep in range(sweeps):
         before = best
         for i in range(len(some)):
             home = part[i]
@@ -99,19 +101,20 @@ def improve(stats: DataFrame, assigned: DataFrame, group: str, shares: Sequence[
                         best, home = now, to
                     else:
                         shift(i, home)
-        for i in range(len(some)):
-            for j in range(i + 1, min(len(some), i + 9)):
-                a, b = part[i], part[j]
-                if a != b:
-                    shift(i, b), shift(j, a)
-                    if (now := _objective(np, size, pos, unsafe, shares)) < best - 1e-12:
-                        best = now
-                    else:
-                        shift(i, a), shift(j, b)
+        near = ((i, j) for i in range(len(some)) for j in range(i + 1, min(len(some), i + 9)))
+        drawn = np.random.default_rng(sweep).integers(0, max(len(some), 1), (len(some), 2)).tolist()
+        for i, j in chain(near, drawn):
+            a, b = part[i], part[j]
+            if a != b:
+                shift(i, b), shift(j, a)
+                if (now := _objective(np, size, pos, unsafe, shares)) < best - 1e-12:
+                    best = now
+                else:
+                    shift(i, a), shift(j, b)
         if best >= before - 1e-12:
             break
     moved = spark.createDataFrame([(r[group], p) for r, p in zip(some, part)], assigned.select(group, F.col("part").cast("int").alias("_p")).schema)
-    return assigned.join(F.broadcast(moved), group, "left").select(group, F.coalesce("_p", "part").alias("part"))
+    return assigned.join(moved, group, "left").select(group, F.coalesce("_p", "part").alias("part"))
 
 
 def search(stats: DataFrame, group: str, n_labels: int, restarts: int = 400, seed: str = "search", refine: bool = True) -> DataFrame:
