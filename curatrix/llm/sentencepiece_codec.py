@@ -3,13 +3,15 @@
 The model's protobuf is read by hand: pieces with scores and types, the trainer's kind and byte fallback, the
 normaliser's flags and character map. From these a tokenizers pipeline is rebuilt: normaliser, metaspace marker, the
 model (Unigram with its scores, or BPE with merges ranked by score) with byte fallback, and the decoder. Texts are cut
-where no piece can cross (before a run of markers), so each distinct part is encoded once per worker, in
-multithreaded batches. The ids are the pipeline's own, and its decoder turns them into text again; sentencepiece only
-encodes each whole text for comparison (`parity`).
+where no piece can cross (before a run of markers; in BPE models whose pieces allow it, also between ASCII letters and
+other ASCII), so each distinct part is encoded once per worker, in multithreaded batches. Parts are found and told apart
+by their bytes, many texts at once. The ids are the pipeline's own, and its decoder turns them into text again;
+sentencepiece only encodes each whole text for comparison (`parity`), so a wrong rebuild or a wrong cut shows there.
 
 Defined results: a null text is encoded as '', which has no ids and decodes to ''. A text that holds the marker
-character itself decodes to a space there, so its round_trip is false. Ids, repeated rows and other columns are
-untouched; an empty table gives an empty table.
+character itself decodes to a space there, so its round_trip is false. A very long text is encoded whole, in a chunk of
+its own. Ties between segmentations are broken as the model's library breaks them. Ids, repeated rows and other columns
+are untouched (input columns named as the four results are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,12 +35,21 @@ from curatrix.llm.common import table
 MARK = "▁"
 #: The vocabulary file of the query: a parameter, never copied.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct parts that a worker remembers.
-CACHE = 500_000
+#: Distinct parts that a worker remembers; bytes of parts that are encoded as one text.
+CACHE, LINES = 500_000, 1 << 15
 # Fixed values of the format: model kinds and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
+_BLANK, _LETTER, _OTHER, _HIGH = 0, 1, 2, 10
+_KIND = np.full(256, _HIGH, np.uint8)
+_KIND[:128] = _OTHER
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[32] = _BLANK
+_MARK_BYTES = MARK.encode()
+#: Told from other parts: the first of a text, which has the dummy prefix.
+_FIRST = np.uint64(0x9E3779B97F4A7C15)
+
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Field numbers and raw values of a protobuf message."""
@@ -120,7 +131,7 @@ def backend(model: Model):
     out = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     steps += [normalizers.Replace(" ", MARK)] + ([normalizers.Prepend(MARK)] if model.dummy_prefix else [])
     out.normalizer = normalizers.Sequence(steps)
     out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
@@ -131,10 +142,6 @@ def backend(model: Model):
 class Codec:
     """A model with a memory of parts. encode() gives ids, lengths and parity of many texts; decode() the texts of ids."""
 
-    #: A run of markers with what follows; and, where no piece mixes letters with other characters, each run of either.
-    COARSE = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-    FINE = re.compile(f"{MARK}*[^\\W\\d_]+|{MARK}*(?:(?!{MARK})[\\W\\d_])+|{MARK}+")
-
     def __init__(self, data: bytes):
         import sentencepiece
 
@@ -142,65 +149,116 @@ class Codec:
         self.tokenizer = backend(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         bodies = [p.lstrip(MARK) for p, t in zip(self.model.pieces, self.model.types) if t in (NORMAL, USER)]
-        if any(MARK in p or "\n" in p for p in bodies):
+        if any(MARK in p or "\n" in p and p != "\n" for p in bodies):
             raise ValueError("a piece crosses a marker or a line end; parts can't be encoded alone")
-        one_kind = re.compile(r"[^\W\d_]*|[\W\d_]*")
-        self.parts = (self.FINE if self.model.kind == BPE and all(map(one_kind.fullmatch, bodies)) else self.COARSE).findall
-        #: Parts without a marker, or of markers only, are encoded after a line end, whose ids are then taken off.
-        self.lead = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: Whether ASCII letters and other ASCII never stand side by side in a piece, so that parts end between them too.
+        self.fine = self.model.kind == BPE and not any(re.search(r"[A-Za-z][\x00-@\[-`{-\x7f]|[\x00-@\[-`{-\x7f][A-Za-z]", p) for p in bodies)
+        #: The pipeline for parts of normalised texts: without normalising again, and without the dummy prefix.
+        self.inner = backend(self.model._replace(charsmap=b"", squeeze=False, dummy_prefix=False))
+        #: The id of a line end, which byte fallback or a piece of its own gives; None where it has none.
+        self.line = next((x for x in self.inner.encode("\n", add_special_tokens=False).ids if x != self.model.unk), None)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.ids, self.begin, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes parts in one multithreaded batch."""
-        bare = [bool(self.model.dummy_prefix and (p[0] != MARK or not p.strip(MARK))) for p in parts]
-        raw = ["\n" * x + p.replace(MARK, " ") for p, x in zip(parts, bare)]
-        texts = [r[1:] if self.model.dummy_prefix and r[0] == " " else r for r in raw]
-        mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = len(self.lead)
-        chosen = [a[cut * x :] for a, x in zip(mine, bare)]
-        sizes = np.fromiter(map(len, chosen), np.int64, len(parts))
-        n, total = len(self.known), int(sizes.sum())
-        while n + len(parts) > len(self.begin):
+    def parts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte starts and ends of the parts and, for each text, the index of its first part (one more at the end)."""
+        kind = _KIND[buf]
+        cut = np.zeros(len(buf) + 1, bool)
+        left, right = kind[:-1], kind[1:]
+        cut[1:-1] = (right == _BLANK) & (left != _BLANK)
+        if self.fine:
+            cut[1:-1] |= left + right == _LETTER + _OTHER
+        cut[offs] = True
+        starts = np.flatnonzero(cut[:-1])
+        return starts, np.append(starts[1:], len(buf)), np.searchsorted(starts, offs)
+
+    def _ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts and how many each has, from multithreaded batches of lines: a part stands between two line ends,
+        which no piece crosses and each of which has an id of its own. Without such an id, parts are encoded one by one."""
+        size = ends - starts + lead
+        at = np.cumsum(size + 1) - size
+        text = np.full(int(size.sum()) + len(size) + 1, 10, np.uint8)
+        text[at[lead]] = 32
+        where = np.repeat(at + lead - starts, ends - starts)
+        from_ = np.arange(len(where)) + np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts)
+        text[from_ + where] = buf[from_]
+        if self.line is None:
+            mine = [e.ids for e in self.inner.encode_batch_fast([text[x : x + n].tobytes().decode("utf-8", "surrogatepass") for x, n in zip(at, size)], add_special_tokens=False)]
+            counts = np.fromiter(map(len, mine), np.int64, len(mine))
+            return np.fromiter(chain.from_iterable(mine), np.int32, int(counts.sum())), counts
+        # Lines are joined into texts of about LINES bytes; each text begins and ends with a line end.
+        last = np.flatnonzero(np.diff((at + size) // LINES, append=-1))
+        cut = np.concatenate(([0], (at + size)[last]))
+        texts = [text[x : y + 1].tobytes().decode("utf-8", "surrogatepass") for x, y in zip(cut[:-1], cut[1:])]
+        flat, ends_in = [], np.cumsum(np.bincount(np.repeat(np.arange(len(size)), ends - starts), buf[from_] == 10, len(size)).astype(np.int64) + 1)
+        gone = 0
+        counts = np.zeros(len(size), np.int64)
+        for i, (e, hi) in enumerate(zip(self.inner.encode_batch_fast(texts, add_special_tokens=False), last + 1)):
+            lo = last[i - 1] + 1 if i else 0
+            ids = np.array(e.ids, np.int32)
+            lines = np.flatnonzero(ids == self.line)
+            stop = lines[ends_in[lo:hi] - gone]
+            begin = np.concatenate((lines[:1], stop[:-1])) + 1
+            counts[lo:hi] = stop - begin
+            flat.append(K.gather(ids, begin, stop - begin))
+            gone = int(ends_in[hi - 1])
+        return np.concatenate(flat), counts
+
+    def _learn(self, keys: list[int], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> None:
+        found, sizes = self._ids(buf, starts, ends, lead)
+        n = len(self.known)
+        while n + len(keys) > len(self.begin):
             self.begin, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.sizes))
-        while self.used + total > len(self.ids):
+        while self.used + len(found) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(chosen), np.int32, total)
-        at = slice(n, n + len(parts))
+        self.ids[self.used : self.used + len(found)] = found
+        at = slice(n, n + len(keys))
         self.begin[at], self.sizes[at] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.known.update(zip(parts, range(n, n + len(parts))))
-        self.used += total
+        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.used += len(found)
+
+    def encode_bytes(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of normalised texts one after the other, and the number of ids of each.
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids one after the other, the number of ids of each text, and whether sentencepiece gives each whole text the same."""
+        Parts are told apart by 64-bit hashes of their bytes, so only the distinct ones of a chunk are looked up.
+        """
         if len(self.known) > CACHE:
             self.forget()
-        flat: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        prefix = MARK if self.model.dummy_prefix else ""
-        for i, text in enumerate(texts):
-            parts = self.parts(prefix + self._normal(text)) if text else []
-            counts[i] = len(parts)
-            flat += parts
-        fresh = list(dict.fromkeys(p for p in flat if p not in self.known))
+        starts, ends, first = self.parts(buf, offs)
+        keys = K.word_hashes(buf, starts, ends)
+        lead = np.zeros(len(starts), bool)
+        lead[first[:-1][np.diff(first) > 0]] = self.model.dummy_prefix
+        keys[lead] ^= _FIRST
+        distinct, one, back = np.unique(keys, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        fresh = [i for i, k in enumerate(names) if k not in self.known]
         if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            new = one[fresh]
+            self._learn([names[i] for i in fresh], buf, starts[new], ends[new], lead[new])
+        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[back]
         sizes = self.sizes[at]
-        edge = np.concatenate(([0], np.cumsum(counts)))
-        total = np.concatenate(([0], np.cumsum(sizes)))[edge]
-        ids, n = K.gather(self.ids, self.begin[at], sizes), np.diff(total)
+        total = np.concatenate(([0], np.cumsum(sizes)))[first]
+        return K.gather(self.ids, self.begin[at], sizes), np.diff(total)
+
+    def encode(self, texts: list[str], buf: np.ndarray | None = None, offs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids one after the other, the number of ids of each text, and whether sentencepiece gives each whole text the
+        same. `buf` and `offs` hold the texts' bytes, if the caller has them."""
+        if buf is None or self.model.charsmap or self.model.squeeze or _MARK_BYTES in buf.tobytes():
+            raw = [self._normal(t).encode("utf-8", "surrogatepass") for t in texts]
+            buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, raw)), dtype=np.int64)))
+        ids, n = self.encode_bytes(buf, offs)
         return ids, n, np.fromiter(map(eq, _lists(ids, n), self.reference.encode(texts, num_threads=1)), bool, len(texts))
 
     def _normal(self, text: str) -> str:
-        if self.model.charsmap or self.model.squeeze:
+        """The normalised text with blanks for markers, without the dummy prefix."""
+        if text and (self.model.charsmap or self.model.squeeze):
             text = self.tokenizer.normalizer.normalize_str(text)
-            return text[1:] if self.model.dummy_prefix and text[:1] == MARK else text
-        return text.replace(" ", MARK)
+            text = text[1:] if self.model.dummy_prefix and text[:1] == MARK else text
+        return text.replace(MARK, " ")
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts that the pipeline's decoder makes of ids; the dummy prefix is taken off."""
@@ -229,9 +287,9 @@ def encode(df: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data)
-        for rows, _, _ in K.chunks(batches, text, 1 << 20):
+        for rows, buf, offs in K.chunks(batches, text, 1 << 22):
             texts = [x or "" for x in rows.column(rows.schema.get_field_index(text)).to_pylist()]
-            ids, counts, parity = c.encode(texts)
+            ids, counts, parity = c.encode(texts, buf, offs)
             same = np.fromiter(map(eq, c.decode(ids, counts), texts), bool, len(texts))
             edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             made = [pa.array(counts), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), pa.array(parity), pa.array(same)]

@@ -263,8 +263,41 @@ def test_sentencepiece_reports_a_wrong_rebuild():
     good, bad = (sentencepiece_codec.Codec(Path(sentencepiece_codec.MODEL).read_bytes()) for _ in range(2))
     ids, counts, parity = good.encode(texts)
     assert parity.all() and good.decode(ids, counts) == texts and ids.tolist() == [x for t in good.reference.encode(texts) for x in t]
-    bad.tokenizer = sentencepiece_codec.backend(bad.model._replace(types=[sentencepiece_codec.UNUSED if p == "▁water" else t for p, t in zip(bad.model.pieces, bad.model.types)]))
+    bad.inner = sentencepiece_codec.backend(bad.model._replace(types=[sentencepiece_codec.UNUSED if p == "▁water" else t for p, t in zip(bad.model.pieces, bad.model.types)], dummy_prefix=False))
     other, counts, parity = bad.encode(texts)
     assert not parity[0] and parity[1] and bad.decode(other, counts) == texts and other.tolist() != ids.tolist()
     good.tokenizer.decoder = sentencepiece_codec.backend(good.model._replace(dummy_prefix=False)).decoder
     assert good.decode(*good.encode(texts)[:2])[0] == " " + texts[0]
+
+
+def field(number, value):
+    """A protobuf field: bytes, an int, or a float of 32 bits."""
+    import struct
+
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram(byte_fallback, squeeze):
+    """A model of given pieces and scores (nothing is trained): letters, some words, and byte pieces."""
+    mark = sentencepiece_codec.MARK
+    plain = sorted({mark, *"abcdefghijklmnopqrstuvwxyz.,éß", *(mark + w for w in EN), *EN, "st", "one", "er", mark + "s", mark * 2})
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256 * byte_fallback)]
+    pieces += [(p, -1.5 - 0.37 * (len(plain) - i) / (1 + len(p)), 1) for i, p in enumerate(plain)]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in pieces)
+    trainer = field(3, 1) + field(35, int(byte_fallback)) + field(40, 0) + field(41, 1) + field(42, 2) + field(43, (1 << 64) - 1)
+    return data + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, int(squeeze)) + field(5, 1))
+
+
+@pytest.mark.parametrize(("byte_fallback", "squeeze"), [(True, False), (True, True), (False, False), (False, True)])
+def test_unigram_models_take_the_same_path(byte_fallback, squeeze):
+    codec = sentencepiece_codec.Codec(unigram(byte_fallback, squeeze))
+    texts = [sentence(EN, 50).lower(), "", "  the  stones of light ", "waterhouse é ß 😀 \n\n the\tring", "stonestonestone", "\n", " ", "the" + " " * 7 + "of"]
+    ids, counts, parity = codec.encode(texts)
+    assert parity.all() and counts.sum() == len(ids) and len(set(ids.tolist())) >= 10
+    if byte_fallback and not squeeze:
+        assert codec.decode(ids, counts) == texts
