@@ -140,7 +140,7 @@ def backend(model: Model):
 
 
 class Codec:
-    """A model with a memory of parts. encode() gives ids, lengths and parity of many texts; decode() the texts of ids."""
+    """A model with a memory of parts. encode() gives the ids of many texts, decode() the texts of ids, parity() compares."""
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -244,14 +244,18 @@ class Codec:
         total = np.concatenate(([0], np.cumsum(sizes)))[first]
         return K.gather(self.ids, self.begin[at], sizes), np.diff(total)
 
-    def encode(self, texts: list[str], buf: np.ndarray | None = None, offs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids one after the other, the number of ids of each text, and whether sentencepiece gives each whole text the
-        same. `buf` and `offs` hold the texts' bytes, if the caller has them."""
+    def encode(self, texts: list[str], buf: np.ndarray | None = None, offs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """All ids one after the other, the number of ids of each text, and the ids text by text. `buf` and `offs` hold the
+        texts' bytes, if the caller has them."""
         if buf is None or self.model.charsmap or self.model.squeeze or _MARK_BYTES in buf.tobytes():
             raw = [self._normal(t).encode("utf-8", "surrogatepass") for t in texts]
             buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, raw)), dtype=np.int64)))
         ids, n = self.encode_bytes(buf, offs)
-        return ids, n, np.fromiter(map(eq, _lists(ids, n), self.reference.encode(texts, num_threads=1)), bool, len(texts))
+        return ids, n, _lists(ids, n)
+
+    def parity(self, texts: list[str], lists: list[list[int]]) -> np.ndarray:
+        """Whether sentencepiece gives each whole text the same ids."""
+        return np.fromiter(map(eq, lists, self.reference.encode(texts, num_threads=1)), bool, len(texts))
 
     def _normal(self, text: str) -> str:
         """The normalised text with blanks for markers, without the dummy prefix."""
@@ -260,10 +264,10 @@ class Codec:
             text = text[1:] if self.model.dummy_prefix and text[:1] == MARK else text
         return text.replace(MARK, " ")
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    def decode(self, lists: list[list[int]]) -> list[str]:
         """The texts that the pipeline's decoder makes of ids; the dummy prefix is taken off."""
         # One by one: as a batch over all cores it took 2.6 times the CPU.
-        return [self.tokenizer.decode(x, skip_special_tokens=False) for x in _lists(ids, counts)]
+        return [self.tokenizer.decode(x, skip_special_tokens=False) for x in lists]
 
 
 def _lists(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:
@@ -277,31 +281,35 @@ def codec(data: bytes) -> Codec:
     return Codec(data)
 
 
-def encode(df: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
-    """df with n_tokens, token_ids, parity and round_trip. The model's bytes (about 0.5 MB) go with the task."""
+def encode(df: DataFrame, model: str = MODEL, text: str = "text", carry: bool = True) -> DataFrame:
+    """df with n_tokens, token_ids, parity and round_trip; the text is left out unless carried. The model's bytes (about
+    0.5 MB) go with the task."""
     with open(model, "rb") as f:
         data = f.read()
     new = {"n_tokens": "long", "token_ids": "array<int>", "parity": "boolean", "round_trip": "boolean"}
-    keep = [c for c in df.columns if c not in new]
+    sent = [c for c in df.columns if c not in new]
+    keep = [c for c in sent if carry or c != text]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + "".join(f", {k} {v}" for k, v in new.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data)
         for rows, buf, offs in K.chunks(batches, text, 1 << 22):
             texts = [x or "" for x in rows.column(rows.schema.get_field_index(text)).to_pylist()]
-            ids, counts, parity = c.encode(texts, buf, offs)
-            same = np.fromiter(map(eq, c.decode(ids, counts), texts), bool, len(texts))
+            ids, counts, lists = c.encode(texts, buf, offs)
+            parity, same = c.parity(texts, lists), np.fromiter(map(eq, c.decode(lists), texts), bool, len(texts))
             edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             made = [pa.array(counts), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), pa.array(parity), pa.array(same)]
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(k)) for k in keep] + made, [*keep, *new])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids; the text is left out, as the ids hold it."""
-    return encode(docs).drop("text")
+    return encode(docs, carry=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_tokens", "token_ids", "parity", "round_trip")
+    docs = table(spark, sf_dir, "documents")
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    return encode(docs.select("doc_id", chars.alias("n_chars"), "text"), carry=False)
