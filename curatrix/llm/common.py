@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and the driver
+    is the only machine (local tests). Elsewhere an unset folder is an error, as executors couldn't read each other's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (root or f"file://{tempfile.gettempdir()}/curatrix-shared-{os.getuid()}").rstrip("/")
 
 
@@ -40,6 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame) -> Column:
+    """The whole row as one struct, under which no column's name can clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def row_hash(df: DataFrame, leave: tuple[str, ...] = ()) -> Column:
+    """A hash of a row's columns (but those left out), the same on every run; maps go as JSON."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in leave]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, '' for null."""
     return F.coalesce(df[column], F.lit(""))
@@ -64,16 +79,17 @@ def least(df: DataFrame, group: str, rank: str, n: int) -> DataFrame:
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(rank))).where(F.col("_r") <= n)
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], often: int, most: int = 10_000) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], often: int, most: int = 10_000, how: str = "inner") -> DataFrame:
     """rows joined with counted: a written table of one row a key, with `n`, how many of the rows have that key.
 
-    Keys of over `often` rows meet their rows by broadcast, so a hot key stays where its rows are. They are at most
-    `most`, as `often` is raised to one part in `most` of all rows; no other key has more rows than that.
+    The `most` most frequent keys among those of over `often` rows meet their rows by broadcast (`most` rows: a bound that
+    doesn't grow), so a hot key stays where its rows are. All others meet in a sort-merge join; the partitions of keys
+    that are frequent there are split by adaptive execution (spark.sql.adaptive.skewJoin, on by default).
+    how: inner or left.
     """
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    often = max(often, -(-total // most))
-    heavy, light = F.broadcast(counted.where(F.col("n") > often)), counted.where(F.col("n") <= often)
-    return rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on).unionByName(rows.join(heavy, on))
+    heavy = F.broadcast(counted.where(F.col("n") > often).orderBy(F.desc("n"), *on).limit(most))
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rest.join(counted, on, how).unionByName(rows.join(heavy, on))
 
 
 def components(edges: DataFrame, name: str = "components", small: int = 100_000) -> DataFrame:

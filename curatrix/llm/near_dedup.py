@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curatrix.llm import kernels as K
-from curatrix.llm.common import components, partitions, spill, table, text_of
+from curatrix.llm.common import components, packed, partitions, row_hash, spill, table, text_of
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -289,12 +289,13 @@ def membership(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class, that with the smallest id."""
+    """Keeps one row of each class, that with the smallest id; of rows with one id and text that with the least hash of its
+    other columns. All columns are carried, whatever their names."""
     _, by_text = classes(docs)
-    kept = by_text.where("tk = class_tk").select(F.coalesce("class_id", F.lit(NO_ID)).alias("_id"), F.col("tk").alias("_tk"))
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_tk", text_key(text_of(docs)))
-    one = Window.partitionBy("_id", "_tk").orderBy(F.lit(1))
-    return keyed.join(kept, ["_id", "_tk"]).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    kept = by_text.where("tk = class_tk").select(F.coalesce("class_id", F.lit(NO_ID)).alias("rid"), "tk")
+    keyed = docs.select(packed(docs).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), text_key(text_of(docs)).alias("tk"), row_hash(docs, ("doc_id", "text")).alias("rank"))
+    one = Window.partitionBy("rid", "tk").orderBy("rank")
+    return keyed.join(kept, ["rid", "tk"]).withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
