@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.llm import hash_tree, language_id, line_crf, merkle, near_dedup, phrase_automata, poisson_mix, quality_rules, sentencepiece_codec, warc_index
@@ -176,6 +177,22 @@ def test_phrase_automata(spark, docs):
     assert texts == Counter(r.text if len(w) == len(k) else " ".join(k) for r, (w, k) in zip(rows, kept_words([r.text for r in rows])) if k or not w)
 
 
+def test_stretches_hold_every_occurrence(docs):
+    """All passages in one automaton, whole documents streamed through it: the same words as from the stretches."""
+    rows = docs.collect()
+    marks = phrase_automata.anchors(docs)
+    texts = marks.groupBy("tk").agg(F.lit(0).cast("long").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"))
+    whole = docs.select(near_dedup.text_key(F.coalesce("text", F.lit(""))).alias("tk"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["tk"])
+    parts = phrase_automata.stretches(whole.join(phrase_automata.repeated(texts, 3), "tk"))
+    (automaton,) = phrase_automata.automata({r.seg for r in phrase_automata.passages(parts).collect()}, 1 << 24)
+    lost = []
+    for r in rows:
+        words = WORD.findall(r.text or "")
+        spans = phrase_automata.locate(automaton, " ".join(words))
+        lost.append(len({i for a, b in zip(spans[::2], spans[1::2]) for i in range(a, b)}))
+    assert lost == [len(w) - len(k) for w, k in kept_words([r.text for r in rows])] and sum(lost)
+
+
 def test_frequent_anchors_are_split_exactly(docs):
     rows = docs.collect()
     want = Counter(len(w) - len(k) for w, k in kept_words([r.text for r in rows]))
