@@ -6,14 +6,17 @@ product over its words of the sum over all segmentations of the product of piece
 forward algorithm that runs over all words of a length at once. Words are runs of letters, in lower case, with the
 marker in front. As a word's probability does not depend on its text, a worker keeps it for the words it has seen.
 
-Defined results: `und` with score 0 where the text is null or has no letter, or where no language could be learned.
-A null id is never learned from and counts as not held out. Repeated rows are scored alike. An empty table gives an
-empty table. Other columns, whatever their names, are not read.
+Defined results: `und` with score 0 where the text is null or has no letter (digits, fractions, superscripts and letter
+numerals are none), or where no language could be learned. Languages that are equally likely go by their names' order. A
+null id is never learned from and counts as not held out. A very long text is scored whole, in a chunk of its own.
+Repeated rows are scored alike. An empty table gives an empty table. Other columns, whatever their names, are not read.
+The model has a column for each value of lang that is learned from, so its size is pieces times languages.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -30,14 +33,16 @@ from curatrix.llm.sentencepiece_codec import MARK, MODEL, NORMAL, parse
 SAMPLE, ROUNDS, SMOOTH = 3000, 3, 0.05
 #: Longest piece in characters, longest word taken whole (longer runs of letters are cut), words a worker remembers.
 LONGEST, WORD_CUT, CACHE = 12, 40, 500_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A letter as str.isalpha() has it: a word character that is neither a digit, a mark of its own, nor any other numeral.
+LETTER = f"[^\\W\\d_{re.escape(''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))}]"
+LETTERS = re.compile(f"{LETTER}+")
 
 
 def vocabulary(model: str = MODEL) -> list[str]:
     """Pieces that are letters with at most one marker in front, in lower case."""
     with open(model, "rb") as f:
         m = parse(f.read())
-    shape = re.compile(f"{MARK}?[^\\W\\d_]+|{MARK}")
+    shape = re.compile(f"{MARK}?{LETTER}+|{MARK}")
     return [p for p, t in zip(m.pieces, m.types) if t == NORMAL and len(p) <= LONGEST and shape.fullmatch(p) and p == p.lower()]
 
 
@@ -139,6 +144,17 @@ class Lattice:
         return out
 
 
+_lattices: dict[str, Lattice] = {}
+
+
+def lattice_of(key: str, pieces: list[str]) -> Lattice:
+    """The lattice of a training run, built once for each worker."""
+    if key not in _lattices:
+        _lattices.clear()
+        _lattices[key] = Lattice(pieces)
+    return _lattices[key]
+
+
 def split_words(text: str) -> list[str]:
     return [MARK + x[i : i + WORD_CUT] for x in LETTERS.findall(text.lower()) for i in range(0, len(x), WORD_CUT)]
 
@@ -146,12 +162,9 @@ def split_words(text: str) -> list[str]:
 def sample(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE) -> DataFrame:
     """At most `per_language` labelled texts of each language (more only where one id repeats), by the hash of their ids."""
     ok = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (crc_mod(df["doc_id"], 4) != 2)).withColumn("_h", F.xxhash64("doc_id", F.lit("language-sample")))
-    # One row for each language, of which the model has a column each.
-    limits = least(ok.select(lang, "_h"), lang, "_h", per_language).groupBy(lang).agg(F.max("_h").alias("_m")).collect()
-    keep = F.lit(False)
-    for r in limits:
-        keep |= (F.col(lang) == r[0]) & (F.col("_h") <= r[1])
-    return ok.where(keep).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # One row for each language.
+    limits = least(ok.select(lang, "_h"), lang, "_h", per_language).groupBy(lang).agg(F.max("_h").alias("_m"))
+    return ok.join(limits, lang).where("_h <= _m").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
 
 def train(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", per_language: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -160,6 +173,7 @@ def train(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
     Workers count words and then make the expected counts; the driver gets one number for each language and piece.
     """
     lattice = Lattice(pieces)
+    known, key = df.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -174,9 +188,10 @@ def train(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
     p = np.zeros((lattice.size + 1, max(1, len(langs))))
     p[: lattice.size] = 1 / lattice.size
     for _ in range(rounds if langs else 0):
-        table_now = p.copy()
+        now = df.sparkSession.sparkContext.broadcast(p)
 
         def expect(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lattice, table_now = lattice_of(key, known.value), now.value
             total = np.zeros((lattice.size, len(langs)))
             for batch in it:
                 frame = batch.to_pandas()
