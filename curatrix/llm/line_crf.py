@@ -9,8 +9,9 @@ conditional log-likelihood, each document counting once and both classes alike.
 Features are made from the bytes of many documents at once; the recursions run over all documents of a chunk at once.
 
 Defined results: a null or empty text is one empty line. A null id is scored, never learned from, and not held out.
-Labels that are null are not used; where no label is left, every score is 0.5. Repeated rows score alike. An empty
-table gives an empty table. Other columns are not read.
+Labels that are null are not used; a document labelled both ways counts as good; where no label is left, every score is
+0.5. A very long text is scored whole; of its lines at most LINES, one stretch, are learned from. Repeated rows score
+alike. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from curatrix.llm import kernels as K
 from curatrix.llm.common import crc_mod, least, table, text_of
 
-#: Bounds of the sample learned from: documents of each label. Steps and rate of the ascent; weight decay.
-SAMPLE, STEPS, RATE, DECAY = 1500, 150, 0.1, 1e-3
+#: Bounds of the sample learned from: documents of each label, and lines of each of them (40 numbers a line reach the
+#: driver: 96 MB at most). Steps and rate of the ascent; weight decay.
+SAMPLE, LINES, STEPS, RATE, DECAY = 1500, 200, 150, 0.1, 1e-3
 THRESHOLD = 0.3
 
 _LOWER, _UPPER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
@@ -155,18 +157,24 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS)
 
 
 def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFrame:
-    """(text, quality) of at most `each` labelled documents of either label, by the hash of their ids."""
+    """(text, quality) of at most `each` labelled rows of either label, by the hash of their ids and then of their texts."""
     ok = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(labels["doc_id"], 5) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = least(ok.withColumn("_h", F.xxhash64("doc_id", F.lit("quality-sample"))), "quality", "_h", each).select("doc_id", "quality")
     # At most 2 * each ids: bounded by the parameter.
-    return docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # An id may have any number of rows.
+    return least(rows.withColumn("_t", F.xxhash64("doc_id", "text")), "quality", "_t", each).select("text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in K.chunks(it):
             x, _, first = line_features(buf, offs)
-            cells = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:])]
+            start, size = first[:-1], np.diff(first)
+            # Of longer texts a stretch of lines at a place that depends on nothing but their number.
+            over = np.maximum(size - LINES, 0)
+            start = start + (K.mix(size.astype(np.uint64)) % (over + 1).astype(np.uint64)).astype(np.int64)
+            cells = [x[a : a + min(n, LINES)].astype(np.float32).tobytes() for a, n in zip(start, size)]
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), rows.column(1)], ["x", "quality"])
 
     got = sample(docs, labels, each).mapInArrow(run, "x binary, quality int").toPandas()
