@@ -3,15 +3,16 @@
 Every task writes its captures, sorted by URL key and timestamp, to an archive of its own in the shared folder (one
 gzip member a record; written under a temporary name and renamed, so a task that runs again does no harm). Reading an
 archive back gives a sorted run of index entries. The runs are merged: key ranges (URL key, timestamp, id, so a hot
-URL is split) each get their slice of every run, and a k-way loser tree merges the slices. The result is the globally
-ordered capture history.
+URL is split) of about RANGE entries each get their slice of every run, and a k-way loser tree merges the slices, which
+wait as Arrow batches and are opened a few entries at a time. The result is the globally ordered capture history.
 
 Of records with equal payloads of at least `least` bytes, that with the smallest id is a response and the others
 revisit it; a revisit holds the HTTP head, with the full payload's length, and the digest, but no payload.
 
 Defined results: a null payload is ''; a null URL is ''. Rows that repeat the smallest id with an equal payload are all
-responses; null ids come last, and are responses only where no row of that payload has an id. An empty table gives an
-empty table. Other columns are not read.
+responses; null ids come last, and are responses only where no row of that payload has an id. A very long payload is one
+record, read whole. Entries of one key, time and id keep any order. An empty table gives an empty table. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from curatrix.llm.common import fresh_path, partitions, spill, table
+from curatrix.llm.common import fresh_path, join_counted, partitions, spill, table
 
 LEAST = 0
+#: A digest of more records meets them by broadcast. Entries of a key range.
+FREQUENT, RANGE = 1_000, 250_000
 #: The first capture time of the query; page_id seconds are added (modulo 10^8).
 EPOCH = 1_704_067_200
 INDEX = "run string, offset long, length long, url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -55,10 +60,12 @@ def captures(pages: DataFrame, least: int = LEAST, epoch: int = EPOCH) -> DataFr
     """page_id, url, payload, url_key, captured and `first`, the smallest id with that payload (null: it is short)."""
     payload = F.coalesce(pages["html"], F.lit(""))
     seconds = F.lit(epoch) + F.pmod(F.coalesce(pages["page_id"], F.lit(0)), F.lit(100_000_000))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("_sha"), url_key(pages["url"]).alias("url_key"), F.date_format(F.timestamp_seconds(seconds), "yyyyMMddHHmmss").alias("captured"))
-    # Digests and ids are aggregated before the payloads move.
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("_sha").agg(F.min("page_id").alias("first"))
-    return rows.join(firsts, "_sha", "left").drop("_sha")
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"), url_key(pages["url"]).alias("url_key"), F.date_format(F.timestamp_seconds(seconds), "yyyyMMddHHmmss").alias("captured"))
+    # Digests and ids are aggregated before the payloads move; only digests that recur are joined, frequent ones in place.
+    long = F.octet_length("payload") >= least
+    firsts = spill(rows.where(long).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-digests")
+    found = join_counted(rows, firsts, ["sha"], FREQUENT, how="left")
+    return found.withColumn("first", F.when(long, F.when(F.col("n").isNull(), F.col("page_id")).otherwise(F.col("first")))).drop("sha", "n")
 
 
 def _clean(x: str) -> str:
@@ -76,7 +83,7 @@ def record(page_id: int | None, url: str | None, payload: str, key: str, capture
         f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {t[:4]}-{t[4:6]}-{t[6:8]}T{t[8:10]}:{t[10:12]}:{t[12:14]}Z",
         f"WARC-Target-URI: {_clean(url or '')}",
-        f"X-Url-Key: {_clean(key)}",
+        f"X-Url-Key: {_clean(key.replace('%', '%25'))}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(body)}",
     ]
     if revisit:
@@ -217,12 +224,21 @@ def merge(index: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        slices: dict[str, list[tuple]] = {}
+        slices: dict[str, list[pa.RecordBatch]] = {}
         for batch in it:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(len(NAMES)))):
-                slices.setdefault(row[0], []).append(row)
+            runs = pc.run_end_encode(batch.column(0))
+            at = 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                slices.setdefault(name, []).append(batch.slice(at, end - at))
+                at = end
+
+        def entries(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in b.slice(lo, 256).columns))
+
         part, rows, position = TaskContext.get().partitionId(), [], 0
-        for row in loser_tree([iter(x) for x in slices.values()], lambda r: (r[3].encode("utf-8", "surrogatepass"), r[4], r[5] is None, r[5] or 0, r[1])):
+        for row in loser_tree([entries(x) for x in slices.values()], lambda r: (r[3].encode("utf-8", "surrogatepass"), r[4], r[5] is None, r[5] or 0, r[1])):
             rows.append((*row, part, position))
             position += 1
             if len(rows) >= 4096:
@@ -232,17 +248,33 @@ def merge(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _schema(spec).types)], [*NAMES, "part", "position"])
 
     keys = ["url_key", "captured", F.col("page_id").asc_nulls_last()]
-    # Entries are about 200 bytes; a range holds a bounded share of them. The sort within a range only restores each
-    # run's own order after the shuffle.
-    dealt = index.repartitionByRange(partitions(index.sparkSession), *keys).sortWithinPartitions("run", *keys, "offset")
+    # Entries are about 200 bytes, so a range is about 50 MB. The sort within a range only restores each run's own order
+    # after the shuffle.
+    ranges = max(partitions(index.sparkSession), -(-index.count() // RANGE))
+    dealt = index.repartitionByRange(ranges, *keys).sortWithinPartitions("run", *keys, "offset")
     return dealt.mapInArrow(run, spec)
 
 
 def history(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """The merged index, with `place`, the position in the whole history."""
     spark = pages.sparkSession
     manifest = write(captures(pages, least), fresh_path(spark, "warc"))
-    return merge(spill(read(manifest), "warc-runs"))
+    merged = spill(merge(spill(read(manifest), "warc-runs")), "warc-history")
+    # One row for each range.
+    sizes = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return merged.join(starts, "part").withColumn("place", F.col("start") + F.col("position")).drop("start")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "position")
+    return history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
+
+
+SQL = f"""
+WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS u, coalesce(html, '') AS x FROM pages),
+h AS (SELECT page_id, octet_length(encode(x)) AS payload_bytes, sha1(x) AS h, strftime(make_timestamp(({EPOCH} + coalesce(page_id, 0) % 100000000) * 1000000), '%Y%m%d%H%M%S') AS captured,
+ array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1), '.')), ',') || ')' || regexp_replace(regexp_replace(u, '^[a-z][a-z0-9+.-]*://[^/?#]*', ''), '#.*$', '') AS url_key FROM p),
+f AS (SELECT h, min(page_id) AS first FROM h WHERE payload_bytes >= {LEAST} GROUP BY h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url_key, captured,
+ row_number() OVER (ORDER BY url_key, captured, page_id NULLS LAST) - 1 AS place FROM h LEFT JOIN f USING (h)"""
