@@ -11,18 +11,19 @@ document (early termination). Two signatures agree in a register with the probab
    only a spanning forest: no list of pairs is made. Texts connected by such links form a cell.
 3. Cells are verified on their whole texts: a document is compared with all others of its cell at once by an inverted
    index of shingles; documents that the most central text has already joined are not compared with each other, as that
-   can't change a class. Large cells are dealt out in pairs of blocks. Links (Jaccard of the shingle sets of at least
-   0.8) make the classes.
+   can't change a class. Links (Jaccard of the shingle sets of at least 0.8) make the classes.
+4. Large buckets and cells are dealt out in blocks with a few pivots; only members that these don't connect with most of
+   their group meet all its blocks (`links`).
 
 A text with fewer than five words is one shingle. Defined results: a null text is '', and texts without words are
 equal only to texts equal to them. The class is the smallest id in it (null where no row of the class has an id). Rows
-of one id are told apart by their texts; repeated rows are copies. An empty table gives an empty table. Other columns
-are carried by `stage` only.
+of one id are told apart by their texts; repeated rows are copies. A very long text is signed and compared whole. An
+empty table gives an empty table. Other columns are carried by `stage` only, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Signatures that agree less than this (over four standard deviations under 0.8) are not verified.
 ESTIMATE = 0.65
-#: Documents and characters of a block of a cell.
-BLOCK, BLOCK_CHARS = 2048, 16 << 20
+#: Members of a block of a bucket; documents and characters of a block of a cell; blocks that give a pivot each.
+BUCKET, BLOCK, BLOCK_CHARS, PIVOTS = 512, 2048, 16 << 20, 4
 NO_ID = -(1 << 63)
 
 
@@ -169,13 +170,14 @@ def _edges(of: pa.Table) -> np.ndarray:
 
 
 def links_of_buckets(members: DataFrame) -> DataFrame:
-    """A spanning forest of the pairs of each bucket whose signatures agree in at least ESTIMATE of the registers."""
+    """members: key, tk, load (signatures). A spanning forest of the pairs of each key whose signatures agree in at least
+    ESTIMATE of the registers."""
     least = int(np.ceil(ESTIMATE * REGISTERS))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(it, 1, 20_000, lambda b: b.num_rows):
             tk = group.column("tk").to_pylist()
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            sig = np.frombuffer(b"".join(group.column("load").to_pylist()), np.uint16).reshape(-1, REGISTERS)
             edge = _edges(group)
             out: list[tuple[bytes, bytes]] = []
             for a, b in zip(edge[:-1], edge[1:]):
@@ -184,19 +186,18 @@ def links_of_buckets(members: DataFrame) -> DataFrame:
                     if (sig[a] == sig[a + 1]).sum() >= least and tk[a] != tk[a + 1]:
                         out.append((tk[a], tk[a + 1]))
                     continue
-                forest = Forest(n)
-                for i in range(n):
-                    roots = forest.roots()
-                    rest = np.flatnonzero(roots != roots[i])
-                    if not len(rest):
-                        break
-                    hit = rest[(sig[a + rest] == sig[a + i]).sum(1) >= least]
-                    if len(hit):
-                        out += [(tk[a + i], tk[a + j]) for j in forest.join(i, hit)]
+                # Members that the first has joined are not compared with each other.
+                forest, todo = Forest(n), [0]
+                for i in todo:
+                    hit = np.flatnonzero((sig[a:b] == sig[a + i]).sum(1) >= least)
+                    out += [(tk[a + i], tk[a + j]) for j in forest.join(i, hit)]
+                    if i == 0:
+                        roots = forest.roots()
+                        todo.extend(np.flatnonzero(roots != roots[0]).tolist())
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["a", "b"])
 
     n = partitions(members.sparkSession)
-    return members.select("key", "tk", "sig").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary").distinct()
+    return members.select("key", "tk", "load").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def verified(first: np.ndarray, value: np.ndarray) -> list[tuple[int, int]]:
@@ -236,13 +237,13 @@ def verified(first: np.ndarray, value: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links_of_cells(texts: DataFrame) -> DataFrame:
-    """texts: key (cell and blocks), tk, text. Verified links."""
+    """texts: key, tk, load (the text). Verified links of the texts of each key."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(it, 1, 4 << 20, lambda b: b.column(2).nbytes):
             tk = group.column("tk").to_pylist()
             edge = _edges(group)
-            buf, offs = K.utf8(group.column("text"))
+            buf, offs = K.utf8(group.column("load"))
             out: list[tuple[bytes, bytes]] = []
             for a, b in zip(edge[:-1], edge[1:]):
                 doc, value, _ = shingles(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
@@ -251,7 +252,45 @@ def links_of_cells(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["a", "b"])
 
     n = partitions(texts.sparkSession)
-    return texts.select("key", "tk", "text").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return texts.select("key", "tk", "load").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+
+
+def links(meta: DataFrame, load: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], most: int, most_chars: int, name: str) -> DataFrame:
+    """Links (a, b) that connect all similar members of each group, whatever the groups' sizes.
+
+    meta: g (the group), tk, chars; load() adds `load` to such rows; compare() links the rows of equal `key`. A group of
+    more than `most` members or `most_chars` characters is dealt out in blocks, each of which also gets one pivot of each
+    of the first PIVOTS blocks. What that connects with most of its group is done: near copies of one text are, so they
+    cost as many comparisons as they are. The others, in chunks, then meet every block and every chunk of their group.
+    """
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("chars") / most_chars)).cast("int")
+    large = spill(meta.groupBy("g").agg(size.alias("blocks")).where("blocks > 1"), f"{name}-large")
+    keyed = lambda df, *of: df.select(F.xxhash64(*of).alias("key"), "tk", "load")
+    if not large.limit(1).count():
+        return compare(keyed(load(meta), "g"))
+    small = compare(keyed(load(meta.join(large.select("g"), "g", "left_anti")), "g"))
+    placed = meta.join(large, "g").withColumn("block", F.pmod(F.xxhash64("tk"), F.col("blocks")).cast("int"))
+    big = spill(load(placed).select("g", "blocks", "block", "tk", "load"), f"{name}-big")
+    pivot = big.where(F.col("block") < PIVOTS).groupBy("g", "blocks", "block").agg(F.min(F.struct(F.xxhash64("tk").alias("h"), "tk", "load")).alias("p"))
+    everywhere = pivot.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "p.tk", "p.load")
+    near = spill(compare(keyed(big.select("g", "block", "tk", "load").unionByName(everywhere), "g", "block")), f"{name}-near")
+    # The members that are not connected with the most of their group.
+    joined = components(near, f"{name}-joined").withColumnRenamed("v", "tk")
+    trees = spill(big.select("g", "blocks", "block", "tk").join(joined, "tk", "left").withColumn("c", F.coalesce("c", "tk")), f"{name}-trees")
+    counts = trees.groupBy("g", "c").agg(F.countDistinct("tk").alias("m"))
+    main = counts.groupBy("g").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("all")).where("x.m < all")
+    split = main.select("g", F.col("x.c").alias("main"), F.ceil((F.col("all") - F.col("x.m")) / most).cast("int").alias("chunks"))
+    rest = spill(trees.join(split, "g").withColumn("chunk", F.when(F.col("c") != F.col("main"), F.pmod(F.xxhash64("tk", F.lit("chunk")), F.col("chunks")).cast("int"))), f"{name}-rest")
+    if not rest.limit(1).count():
+        return small.unionByName(near)
+    out, inside = F.col("chunk").isNotNull(), F.col("chunk").isNull()
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("to")
+    met = rest.where(inside).select("g", "tk", "block", to("chunks")).select("g", "tk", F.col("block").alias("x"), F.col("to").alias("y"), F.lit("block").alias("with"))
+    met = met.unionByName(rest.where(out).select("g", "tk", "chunk", to("blocks")).select("g", "tk", F.col("to").alias("x"), F.col("chunk").alias("y"), F.lit("block").alias("with")))
+    met = met.unionByName(rest.where(out).select("g", "tk", "chunk", to("chunks")).select("g", "tk", F.least("chunk", "to").alias("x"), F.greatest("chunk", "to").alias("y"), F.lit("chunk").alias("with")))
+    loads = big.dropDuplicates(["g", "tk"]).select("g", "tk", "load")
+    far = compare(keyed(met.distinct().join(loads, ["g", "tk"]), "g", "x", "y", "with"))
+    return small.unionByName(near).unionByName(far)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -263,20 +302,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Buckets of two texts or more; the two signatures of one text don't make one.
     who = F.xxhash64("tk")
     shared = banded.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo < hi").select("key")
-    members = banded.join(shared, "key", "left_semi").join(signed.select("tk", "plain", "sig"), ["tk", "plain"])
-    cells = components(links_of_buckets(members), "near-cells")
-    # Cells with their blocks, then the texts of their members (one row for each text).
-    inside = cells.join(texts.select(F.col("tk").alias("v"), "rid", "chars"), "v")
-    size = inside.groupBy("c").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    placed = inside.join(size, "c").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    members = spill(banded.join(shared, "key", "left_semi").select(F.col("key").alias("g"), "tk", "plain", F.lit(0).alias("chars")), "near-members")
+    signature = signed.select("tk", "plain", F.col("sig").alias("load"))
+    cells = components(links(members, lambda m: m.join(signature, ["tk", "plain"]), links_of_buckets, BUCKET, 1, "near-buckets"), "near-cells")
+    # Cells, then the texts of their members (one row for each text).
+    inside = cells.join(texts.select(F.col("tk").alias("v"), F.coalesce("rid", F.lit(NO_ID)).alias("rid"), "chars"), "v").select(F.xxhash64("c").alias("g"), F.col("v").alias("tk"), "rid", "chars")
     t = text_of(docs)
-    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), text_key(t).alias("v"), t.alias("text"))
-    chosen = placed.withColumn("rid", F.coalesce("rid", F.lit(NO_ID)))
-    found = source.join(chosen, ["rid", "v"])
-    paired = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = paired.select(F.xxhash64("c", F.least("block", "other"), F.greatest("block", "other")).alias("key"), F.col("v").alias("tk"), "text")
-    links = components(links_of_cells(keyed), "near-classes")
-    labelled = texts.join(links.withColumnRenamed("v", "tk"), "tk", "left").select("tk", "rid", "n_copies", F.coalesce("c", "tk").alias("c"))
+    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), text_key(t).alias("tk"), t.alias("load"))
+    found = links(inside, lambda m: source.join(m, ["rid", "tk"]), links_of_cells, BLOCK, BLOCK_CHARS, "near-blocks")
+    links_ = components(found, "near-classes")
+    labelled = texts.join(links_.withColumnRenamed("v", "tk"), "tk", "left").select("tk", "rid", "n_copies", F.coalesce("c", "tk").alias("c"))
     best = F.min(F.struct(F.col("rid").isNull().alias("none"), F.col("rid").alias("rid"), F.col("tk").alias("tk")))
     heads = labelled.groupBy("c").agg(best.alias("best"), F.sum("n_copies").alias("class_size"))
     return rows.select("doc_id", "tk"), labelled.join(heads, "c").select("tk", F.col("best.rid").alias("class_id"), F.col("best.tk").alias("class_tk"), "class_size", "n_copies")
@@ -300,3 +335,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership(table(spark, sf_dir, "documents"))
+
+
+# Shingles as text; equal texts are one, and so are two sets of a Jaccard of at least SIMILAR, step by step.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT coalesce(text, '') AS x, min(doc_id) AS rid, count(*) AS n FROM documents GROUP BY 1),
+v AS (SELECT row_number() OVER (ORDER BY rid NULLS LAST, x) AS v, x, rid, n, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+s AS (SELECT DISTINCT v, g FROM (SELECT v, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS g FROM v)),
+z AS (SELECT v, count(*) AS z FROM s GROUP BY v),
+c AS (SELECT a.v AS a, b.v AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.v < b.v GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN z x ON x.v = a JOIN z y ON y.v = b WHERE c >= {SIMILAR} * (x.z + y.z - c)),
+twoway AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT v AS a, v AS b FROM v UNION SELECT r.a, twoway.b FROM r JOIN twoway ON r.b = twoway.a),
+k AS (SELECT a AS v, min(b) AS c FROM r GROUP BY a),
+g AS (SELECT c, min(rid) AS class_id, CAST(sum(n) AS BIGINT) AS class_size FROM k JOIN v USING (v) GROUP BY c)
+SELECT doc_id, class_id, class_size, v.n AS n_copies FROM documents JOIN v ON coalesce(text, '') = x JOIN k USING (v) JOIN g USING (c)"""

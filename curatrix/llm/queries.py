@@ -26,4 +26,11 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_quality_rules": quality_rules.SQL, "op7_poisson_mix": poisson_mix.SQL}
+    return {
+        "op3_quality_rules": quality_rules.SQL,
+        "op4_prob_min_hash": near_dedup.SQL,
+        "op5_warc_index_merge": warc_index.SQL,
+        "op7_poisson_mix": poisson_mix.SQL,
+        "op8_phrase_automata": phrase_automata.SQL,
+        "op9_hash_tree": hash_tree.SQL,
+    }
