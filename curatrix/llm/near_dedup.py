@@ -40,7 +40,7 @@ REGISTERS = BANDS * ROWS
 #: Signatures that agree less than this (over four standard deviations under 0.8) are not verified.
 ESTIMATE = 0.65
 #: Members of a block of a bucket; documents and characters of a block of a cell; blocks that give a pivot each.
-BUCKET, BLOCK, BLOCK_CHARS, PIVOTS = 512, 2048, 16 << 20, 4
+BUCKET, BLOCK, BLOCK_CHARS, PIVOTS = 512, 512, 4 << 20, 4
 NO_ID = -(1 << 63)
 
 
