@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ TRUE_WORDS = ("true", "1", "yes", "y", "t", "safe")
 FALSE_WORDS = ("false", "0", "no", "n", "f", "unsafe")
 NULL_WORDS = ("", "none", "n/a", "na", "nan", "null", "-")
 DASHES = "‐‑‒–—―−"
+QUOTES = "‘’‚‛“”„‟«»\u00a0\u2009\u202f…"
 
 
 def norm(c: Column) -> Column:
@@ -94,8 +95,66 @@ def whole_number(c: Column) -> Column:
 
 
 def split_list(c: Column) -> Column:
-    """Items between ; or , that are not in brackets (one level)."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(?:[^;,(\[]++|[(\[][^)\]]*+[)\]]?)++"), 0), lambda x: F.trim(x)), lambda x: x != "")
+    """Items between ; or , that are not in brackets (one level), without the dots and blanks around them."""
+    items = F.regexp_extract_all(c, F.lit(r"(?:[^;,(\[]++|[(\[][^)\]]*+[)\]]?)++"), 0)
+    return F.filter(F.transform(items, lambda x: F.btrim(x, F.lit(" ."))), lambda x: x != "")
+
+
+def split_items(c: Column, nothing: Sequence[str] = ("", "none", "none known", "nkda", "n/a", "na")) -> Column:
+    """Items of a list: at every ; where there is one, else at commas outside round brackets (one level). A text that says
+    nothing has no items."""
+    comma = F.regexp_extract_all(c, F.lit(r"(?:[^,(]++|\([^)]*+\)?)++"), 0)
+    items = F.transform(F.when(c.contains(";"), F.split(c, ";")).otherwise(comma), lambda x: F.trim(x))
+    return F.when(norm(c).isin(list(nothing)), F.array().cast("array<string>")).otherwise(F.filter(items, lambda x: x != ""))
+
+
+def strip_brackets(c: Column, words: Sequence[str]) -> Column:
+    """The text without the brackets (and the blank before them) that hold one of the words, in any case."""
+    some = "|".join(f"\\Q{w}\\E" for w in words)
+    return F.trim(F.regexp_replace(c, rf"(?i)\s*\([^()]*(?:{some})[^()]*\)", "")) if words else c
+
+
+def headers(c: Column, names: Mapping[str, str]) -> Column:
+    """Lines that are a header in any of its spellings (case, bold, numbering, colon) become its one form."""
+    for said, one in names.items():
+        c = F.regexp_replace(c, rf"(?im)^[ \t]*(?:#+[ \t]*)?(?:\d+[.)][ \t]*)?\**[ \t]*\Q{said}\E[ \t]*\**:?\**[ \t]*$", one)
+    return c
+
+
+def first_header(c: Column, names: Sequence[str]) -> Column:
+    """The first of the headers that begins a line; null for none."""
+    some = "|".join(f"\\Q{n}\\E" for n in names)
+    return F.nullif(F.regexp_extract(c, rf"(?m)^({some})", 1), F.lit(""))
+
+
+def forbidden(c: Column, words: Sequence[str]) -> Column:
+    """Those of the words that the text holds: what must not be told to a blind reader."""
+    return F.array_compact(F.array(*(F.when(c.contains(w), F.lit(w)) for w in words)))
+
+
+def placeholder(c: Column, shown: str = "Not reported", null: Sequence[str] = NULL_WORDS) -> Column:
+    """The trimmed cell, or what is shown for a missing one."""
+    return F.coalesce(F.trim(null_if(c, null)), F.lit(shown))
+
+
+def approx_tokens(c: Column) -> Column:
+    return F.length(c) / 4
+
+
+def percent(c: Column) -> Column:
+    """A share as a percentage of one digit, nudged up by 1e-9 and rounded half to even."""
+    return F.bround(100 * c + 1e-9, 1)
+
+
+def straight_quotes(c: Column) -> Column:
+    """Typographic quotes, dashes and blanks as ASCII."""
+    return F.translate(fold_dashes(c), QUOTES, "'" * 4 + '"' * 6 + " " * 3 + ".")
+
+
+def demographics(c: Column) -> Column:
+    """What a text tells of a person: ages, sexes, weights and body mass."""
+    words = r"(?i)\b(\d{1,3}[- ]?(?:year|yr)s?[- ]?old|aged? \d{1,3}|(?:fe)?male|(?:wo)?m[ae]n|\d{2,3}(?:\.\d)? ?kg|bmi(?: of)? \d{2}(?:\.\d)?)\b"
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(words), 1), lambda x: F.lower(x)))
 
 
 def band(c: Column, edges: Sequence[tuple[float, str]], last: str) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import split_list
+from curatrix.functions.text import split_items
 
 # What a swept profile field becomes when nothing of it is left.
 SWEPT = {
@@ -51,7 +51,7 @@ def mentions(c: Column, words: Column) -> Column:
 
 def sweep(c: Column, words: Column, empty: Column) -> Column:
     """The list without items that hold a word; `empty` where nothing is left; the very text where no word occurs."""
-    kept = F.array_join(F.filter(split_list(c), lambda x: ~mentions(x, words)), "; ")
+    kept = F.array_join(F.filter(split_items(c), lambda x: ~mentions(x, words)), "; ")
     return F.when(F.coalesce(mentions(c, words), F.lit(False)), F.coalesce(F.nullif(kept, F.lit("")), empty)).otherwise(c)
 
 
