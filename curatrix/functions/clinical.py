@@ -42,7 +42,7 @@ HEART = (
     ("ventricular arrhythmia", r"\bvt\b|ventricular tach|arrhythm"),
 )
 LOW_EF, LONG_QTC = 50, 450
-LUNG = (("asthma", "asthma"), ("COPD", "copd|emphysema|chronic bronchitis"), ("sleep apnea", r"sleep apn|osa\b"), ("interstitial lung disease", r"fibrosis|ild\b|interstitial"))
+LUNG = (("asthma", "asthma"), ("COPD", "copd|emphysema|chronic bronchitis"), ("sleep apnea", r"sleep apn|osa\b"), ("interstitial lung disease", r"fibrosis|\bild\b|interstitial"))
 SUBSTANCES = ("cannabis", "marijuana", "thc", "cocaine", "opioid", "heroin", "fentanyl", "stimulant", "methamphetamine", "amphetamine", "mdma", "ecstasy", "benzodiazepine", "kratom", "ketamine", "lsd", "psilocybin", "inhalant")
 AGES = ((2, "infant (<2)"), (12, "child (2-11)"), (18, "adolescent (12-17)"), (65, "adult (18-64)"), (80, "older adult (65-79)"))
 BODIES = ((18.5, "underweight"), (25, "normal"), (30, "overweight"), (35, "obese class I"), (40, "obese class II"))

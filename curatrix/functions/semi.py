@@ -100,6 +100,16 @@ def _truth(value) -> bool | None:
     return True if word in ("true", "yes", "1", "safe") else False if word in ("false", "no", "0", "unsafe") else None
 
 
+def _load(text: str):
+    """JSON, also with lone backslashes and with truth words as Python or people write them; ValueError for none."""
+    words = {"True": "true", "Yes": "true", "False": "false", "No": "false", "None": "null"}
+    mended = re.sub(r"(?<=:)\s*(True|Yes|False|No|None)(?=\s*[,}\]])", lambda m: words[m[1]], re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", text))
+    try:
+        return json.loads(text, strict=False)
+    except ValueError:
+        return json.loads(mended, strict=False)
+
+
 def parse_completion(text: str | None, names: Sequence[str], strict: bool = False) -> tuple[bool | None, list[str], str, bool]:
     """(safe, categories, source, complete) of a model's answer: JSON first, then broken JSON, then prose.
 
@@ -110,7 +120,7 @@ def parse_completion(text: str | None, names: Sequence[str], strict: bool = Fals
     text = text or ""
     for candidate in sorted(balanced(text), key=len, reverse=True):
         try:
-            found = json.loads(candidate, strict=False)
+            found = _load(candidate)
         except ValueError:
             continue
         safe, flags = None, {}

@@ -24,6 +24,11 @@ def earliest(c: Column, names: Sequence[str]) -> Column:
     return F.array_min(hits)["name"]
 
 
+def first_of(columns: Sequence[Column], names: Sequence[str]) -> Column:
+    """The earliest name of the first column that holds one."""
+    return F.coalesce(*(earliest(c, names) for c in columns))
+
+
 def longest(c: Column, names: Sequence[str]) -> Column:
     """The longest name that the lower-case text contains; of equal lengths the smaller."""
     out = F.lit(None).cast("string")

@@ -28,7 +28,8 @@ def issues(df: DataFrame, key: str, rules: Sequence[Rule | Each]) -> DataFrame:
     """key, check_name, severity, detail: a row for each rule that a row breaks. One scan, no shuffle."""
     one = lambda r, detail: F.struct(F.lit(r.check).alias("check_name"), F.lit(r.severity).alias("severity"), detail.cast("string").alias("detail"))
     none = F.array().cast("array<struct<check_name:string,severity:string,detail:string>>")
-    made = [F.coalesce(F.transform(r.details, lambda d, r=r: one(r, d)), none) if isinstance(r, Each) else F.when(r.broken, F.array(one(r, r.detail))).otherwise(none) for r in rules]
+    each = lambda r: F.coalesce(F.transform(r.details, lambda d: one(r, d)), none)
+    made = [each(r) if isinstance(r, Each) else F.when(r.broken, F.array(one(r, r.detail))).otherwise(none) for r in rules]
     return df.select(F.col(key), F.explode(F.flatten(F.array(*made))).alias("i")).select(key, "i.*")
 
 

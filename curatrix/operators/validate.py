@@ -54,7 +54,7 @@ def empty_fields(cols: Sequence[str], required: Sequence[str]) -> list[Rule]:
 
 def label_map(c: Column, names: Sequence[str], safe: Column) -> list[Rule | Each]:
     """The map's text and keys, and that the verdict says whether any name is true."""
-    plain, m = F.from_json(c, "map<string,string>"), semi.json_map(c)
+    plain, m = F.from_json(c, "map<string,string>", {"allowSingleQuotes": "false"}), semi.json_map(c)
     keys, known = F.map_keys(m), F.array(*map(F.lit, names))
     odd = F.filter(F.map_entries(m), lambda e: ~F.lower(e["value"]).isin("true", "false"))
     yes = F.filter(F.map_entries(m), lambda e: F.lower(e["value"]) == "true")
@@ -109,6 +109,10 @@ def history(cols: Mapping[str, str]) -> list[Rule]:
     return made
 
 
+def _holds(c: Column, terms: Sequence[str]) -> Column:
+    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t))
+
+
 def reasoning(cols: Mapping[str, str], profile: Sequence[str]) -> list[Rule | Each]:
     """Conditions and degrees that the reasoning cites must stand in the profile; a safe row needs reasons and findings."""
     get = lambda k: norm(F.col(f"`{cols[k]}`"))
@@ -120,7 +124,7 @@ def reasoning(cols: Mapping[str, str], profile: Sequence[str]) -> list[Rule | Ea
     ]
     for organ, field in ORGANS:
         claimed, actual = F.regexp_extract(said, rf"([\w-]+)\s+{organ}", 1), get(field)
-        other = F.filter(F.array(*map(F.lit, DEGREES)), lambda d, actual=actual: F.contains(actual, d))
+        other = _holds(actual, DEGREES)
         made.append(Rule("reasoning/severity-mismatch", "warning", claimed.isin(*DEGREES) & (F.size(other) > 0) & ~F.contains(actual, claimed), F.concat(claimed, F.lit(f" {organ} | "), actual)))
     words = F.size(F.filter(F.split(said, r"\s+"), lambda w: w != ""))
     lazy = F.exists(F.array(*map(F.lit, LAZY)), lambda p: F.contains(said, p))

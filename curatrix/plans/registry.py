@@ -32,8 +32,15 @@ def query(sql: str | None = None):
     return add
 
 
+def add(name: str, sql: str | None, f: Callable[[Tables], DataFrame]) -> None:
+    """Registers a function of Tables under a name."""
+    _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    if sql:
+        _SQL[name] = sql
+
+
 def _load() -> None:
-    from curatrix.plans import curation, evaluation, pairs, parsing, sampling  # noqa: F401
+    from curatrix.plans import curation, evaluation, golden, pairs, parsing, sampling  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
