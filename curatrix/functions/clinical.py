@@ -104,7 +104,7 @@ def per_day(c: Column) -> Column:
     """Doses a day: a phrase, every N hours, or once; null for none of them."""
     low = F.lower(c)
     hours = first_number(low, r"\b(?:q|every)\s*(\d{1,2})\s*(?:h\b|hours?|hrs?\b|hourly)")
-    out = F.when(hours > 0, F.round(24 / hours, 3)).when(low.rlike(r"single dose|one[- ]time|\bonce\b|\bstat\b|single administration"), 1.0)
+    out = F.when(hours > 0, 24 / hours).when(low.rlike(r"single dose|one[- ]time|\bonce\b|\bstat\b|single administration"), 1.0)
     for pattern, n in reversed(PER_DAY):
         out = F.when(low.rlike(pattern), F.lit(n)).otherwise(out)
     return out

@@ -75,3 +75,57 @@ def multilabel(flags: DataFrame, key: str) -> DataFrame:
     cats = confusion(flags, F.col("g"), F.col("p"), "category").where("tp + fn > 0")
     macro = cats.agg(F.round(F.avg(ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))), 6).alias("macro_f1"))
     return by_row.join(F.broadcast(macro))
+
+
+def more_rates(counts: DataFrame, digits: int = 6) -> DataFrame:
+    """Adds both classes' precision, recall and F1, and the F1 weighted by support."""
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    f1, f1n = ratio(2 * tp, 2 * tp + fp + fn), ratio(2 * tn, 2 * tn + fp + fn)
+    made = {"precision_neg": ratio(tn, tn + fn), "recall_neg": ratio(tn, tn + fp), "f1_neg": f1n, "weighted_f1": ratio(f1 * (tp + fn) + f1n * (tn + fp), tp + fp + fn + tn)}
+    return counts.select("*", *(F.round(v, digits).alias(k) for k, v in made.items()))
+
+
+def multilabel_averages(flags: DataFrame, key: str) -> DataFrame:
+    """Precision, recall and F1: micro, macro (over categories with gold), weighted by support, and by row; and exact matches."""
+    cats = confusion(flags, F.col("g"), F.col("p"), "category")
+    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
+    p, r, f = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(2 * tp, 2 * tp + fp + fn)
+    gold = F.when(tp + fn > 0, 1.0)
+    mean = lambda x, w: F.round(F.sum(w * x) / F.sum(w), 6)
+    by_cat = cats.agg(
+        F.round(ratio(F.sum(tp), F.sum(tp + fp)), 6).alias("micro_precision"), F.round(ratio(F.sum(tp), F.sum(tp + fn)), 6).alias("micro_recall"),
+        *(mean(x, gold).alias(f"macro_{n}") for n, x in (("precision", p), ("recall", r), ("f1", f))), *(mean(x, tp + fn).alias(f"weighted_{n}") for n, x in (("precision", p), ("recall", r), ("f1", f))),
+    )
+    rows = flags.groupBy(key).agg(F.count_if(F.col("g") & F.col("p")).alias("both"), F.count_if("g").alias("ng"), F.count_if("p").alias("np"))
+    by_row = rows.agg(F.round(F.avg(ratio(F.col("both") * 1.0, F.col("np"))), 6).alias("samples_precision"), F.round(F.avg(ratio(F.col("both") * 1.0, F.col("ng"))), 6).alias("samples_recall"), F.count_if((F.col("both") == F.col("ng")) & (F.col("both") == F.col("np"))).alias("n_exact"))
+    return by_cat.join(F.broadcast(by_row))
+
+
+#: Metrics of additive confusion counts by name; callers add theirs, each a column of tp, fp, fn, tn.
+METRICS = {
+    "accuracy": lambda tp, fp, fn, tn: ratio(tp + tn, tp + fp + fn + tn), "recall": lambda tp, fp, fn, tn: ratio(tp, tp + fn), "fpr": lambda tp, fp, fn, tn: ratio(fp, fp + tn),
+    "f1": lambda tp, fp, fn, tn: ratio(2 * tp, 2 * tp + fp + fn), "balanced_accuracy": lambda tp, fp, fn, tn: (ratio(tp, tp + fn) + ratio(tn, tn + fp)) / 2,
+}
+
+
+def resampled(counts: DataFrame, draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """Bootstrap samples of confusion counts: tp, fp, fn, tn of each resample b (and group).
+
+    Rows with one outcome are alike, so a draw is a number below n that falls among tp, fp, fn or tn: no row is numbered
+    or joined, and the draws (draws x n numbers) are added up where they are made.
+    """
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    each = counts.select(*by, "tp", "fp", "fn", "tn", n.alias("n")).where("n > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    hit = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in by), F.col("b").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
+    drawn = each.withColumn("i", hit)
+    tp, fp, fn = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("fn")
+    i = F.col("i")
+    return drawn.groupBy(*by, "b").agg(F.count_if(i < tp).alias("tp"), F.count_if((i >= tp) & (i < fp)).alias("fp"), F.count_if((i >= fp) & (i < fn)).alias("fn"), F.count_if(i >= fn).alias("tn"))
+
+
+def intervals(samples: DataFrame, names: Sequence[str], by: Sequence[str] = (), registry=None) -> DataFrame:
+    """metric, low, high (2.5 % and 97.5 %, linear) of bootstrap samples of confusion counts."""
+    registry = registry or METRICS
+    counts = [F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn")]
+    each = samples.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), registry[m](*counts).alias("x")) for m in names))).alias("m")).select(*by, "m.*")
+    return each.groupBy(*by, "metric").agg(F.round(F.percentile("x", 0.025), 6).alias("low"), F.round(F.percentile("x", 0.975), 6).alias("high"))

@@ -51,3 +51,9 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     grid = rows.join(F.broadcast(cols)).join(F.broadcast(total)).join(cell, [a, b], "left")
     e = F.col("r") * F.col("c") / F.col("t")
     return grid.agg(F.round(F.sum(F.pow(F.coalesce("n", F.lit(0.0)) - e, F.lit(2)) / e), 4).alias("chi_square"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
+
+
+def numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """column_name, lo, hi, mean, mid and sd of numeric columns, in one aggregation."""
+    one = lambda c: F.struct(F.lit(c).alias("column_name"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"), F.round(F.avg(c), 4).alias("mean"), F.median(c).cast("double").alias("mid"), F.round(F.stddev_samp(c), 4).alias("sd"))
+    return df.agg(F.array(*map(one, names)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
