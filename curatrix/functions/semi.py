@@ -153,7 +153,8 @@ def completion(c: Column, names: Sequence[str], strict: bool = False) -> Column:
 
     @F.pandas_udf("safe boolean, categories array<string>, source string, complete boolean")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_completion(x, names, strict) for x in s], columns=["safe", "categories", "source", "complete"])
+        known = {x: parse_completion(x, names, strict) for x in s.unique()}
+        return pd.DataFrame([known[x] for x in s], columns=["safe", "categories", "source", "complete"])
 
     return run(c)
 

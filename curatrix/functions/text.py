@@ -137,8 +137,12 @@ def placeholder(c: Column, shown: str = "Not reported", null: Sequence[str] = NU
     return F.coalesce(F.trim(null_if(c, null)), F.lit(shown))
 
 
+def approx_tokens_of(chars: Column) -> Column:
+    return chars / 4
+
+
 def approx_tokens(c: Column) -> Column:
-    return F.length(c) / 4
+    return approx_tokens_of(F.length(c))
 
 
 def percent(c: Column) -> Column:

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def running(df: DataFrame, order: str, sums: Sequence[str], parts: int, descending: bool = False) -> DataFrame:
+    """Adds `upto_<c>` for each of the columns: its sum over all rows up to this one in the order of a column (rows of equal
+    order in any order). Rows are dealt by ranges and summed there; the ranges' totals, one row each, give the starts."""
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    dealt = df.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.select("*", *(F.sum(c).over(w).alias(f"_in_{c}") for c in sums))
+    totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", *(F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in sums))
+    return inside.join(starts, "_part").select(*df.columns, *((F.col(f"_start_{c}") + F.col(f"_in_{c}")).alias(f"upto_{c}") for c in sums))
+
+
 def positions(df: DataFrame, order: str, parts: int, name: str = "idx") -> DataFrame:
-    """Adds the row's place (from 0) in the order of a column without nulls: rows are dealt by ranges and numbered there,
-    and the ranges' sizes (one row each) give the starts."""
-    dealt = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    return inside.join(starts, "_part").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_in", "_start")
+    """Adds the row's place (from 0) in the order of a column."""
+    return running(df.withColumn("one", F.lit(1).cast("long")), order, ["one"], parts).select(*df.columns, (F.col("upto_one") - 1).alias(name))
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:

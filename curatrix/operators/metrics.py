@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def ratio(a: Column, b: Column, zero: float = 0.0) -> Column:
@@ -48,11 +47,13 @@ def policies(df: DataFrame, gold: Column, predicted: Column) -> DataFrame:
 def ranking(df: DataFrame, gold: Column, score: Column) -> DataFrame:
     """auroc (ties count half) and average precision over distinct thresholds.
 
-    Rows are first added up by score, so the window runs over distinct scores only.
+    Rows are first added up by score, and the running sums are made by ranges of the score.
     """
+    from curatrix.operators.joins import running
+
     by = df.select(gold.cast("long").alias("g"), score.alias("s")).groupBy("s").agg(F.sum("g").alias("pos"), F.sum(1 - F.col("g")).alias("neg"))
-    w = Window.orderBy(F.desc("s"))
-    cum = by.select("pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cum = running(by, "s", ["pos", "neg"], parts, descending=True).select("pos", "neg", F.col("upto_pos").alias("tp"), F.col("upto_neg").alias("fp"))
     all_ = cum.agg(F.max("tp").alias("np"), F.max("fp").alias("nn"), F.sum(F.col("pos") * (F.lit(0.0) + F.col("fp") - F.col("neg") / 2)).alias("above"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return all_.select(F.round(1 - F.col("above") / (F.col("np") * F.col("nn")), 6).alias("auroc"), F.round(F.col("ap") / F.col("np"), 6).alias("average_precision"))
 

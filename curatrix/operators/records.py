@@ -34,12 +34,3 @@ def nonpersonal(message: Column) -> Column:
 
 def blind(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
     return df.drop(*hidden)
-
-
-def reward(safe: Column, gold_safe: Column, flags: Column, gold: Column, parsed: Column, weights: Mapping[str, float]) -> Column:
-    """Additive reward: format, verdict, set F1 and hallucinated categories; nothing else counts unless it parses."""
-    both = F.size(F.filter(F.zip_with(flags, gold, lambda a, b: a & b), lambda x: x))
-    said, true = F.size(F.filter(flags, lambda x: x)), F.size(F.filter(gold, lambda x: x))
-    f1 = F.when(said + true == 0, 1.0).otherwise(2.0 * both / (said + true))
-    total = F.lit(weights["format"]) + F.when(safe == gold_safe, weights["verdict"]).otherwise(-weights["verdict"]) + weights["f1"] * f1 - weights["extra"] * (said - both)
-    return F.when(parsed, total).otherwise(F.lit(-weights["format"]))

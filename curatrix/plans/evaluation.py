@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.operators import agreement, dedup, metrics, profile, resample
+from curatrix.operators import agreement, dedup, joins, metrics, profile, resample
 from curatrix.plans.registry import Tables, query
 
 TOXIC = "scum|idiot|loser|trash|pathetic"
@@ -159,9 +159,7 @@ def majority_vs_gold(t):
 
 
 def _indexed(t):
-    from pyspark.sql.window import Window
-
-    return t.labels.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.col("quality").cast("double").alias("x"), F.col("toxic").cast("double").alias("y"))
+    return joins.positions(t.labels.select("doc_id", F.col("quality").cast("double").alias("x"), F.col("toxic").cast("double").alias("y")), "doc_id", 8, "i").drop("doc_id")
 
 
 _B = "n AS (SELECT count(*) AS n FROM labels), r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality AS x, toxic AS y FROM labels), d AS (SELECT b, CAST('0x' || substr(md5('{s}:' || b || ':' || k), 1, 8) AS BIGINT) % n AS i FROM n, (SELECT unnest(range(0, {b})) AS b), unnest(range(0, n)) AS u(k))"

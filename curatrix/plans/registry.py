@@ -40,7 +40,7 @@ def add(name: str, sql: str | None, f: Callable[[Tables], DataFrame]) -> None:
 
 
 def _load() -> None:
-    from curatrix.plans import curation, evaluation, golden, pairs, parsing, reports, sampling  # noqa: F401
+    from curatrix.plans import curation, evaluation, golden, pairs, parsing, records, reports, sampling  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -87,6 +87,14 @@ def list_files(spark: SparkSession, glob: str, min_bytes: int = 0, name: str = "
     return meta.where((F.col("bytes") >= min_bytes) & F.regexp_like(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(name)))
 
 
+def with_rows(files: DataFrame, least: int) -> DataFrame:
+    """Those of the listed text files (path) that have so many lines or more, with `rows`."""
+    spark = files.sparkSession
+    paths = [r.path for r in files.select("path").collect()]  # a listing: as many as there are files
+    lines = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    return files.join(lines, "path").where(F.col("rows") >= least)
+
+
 def sibling(path: Column, ending: str, other: str) -> Column:
     """The path of a prediction file beside its metrics file."""
     return F.regexp_replace(path, re.escape(ending) + "$", other)
@@ -166,7 +174,9 @@ def round_trip(df: DataFrame, again: DataFrame) -> DataFrame:
 
 
 def replace(df: DataFrame, path: str, backup: bool = True) -> None:
-    """Writes beside `path`, then renames: readers see the old table or the new one. The old one stays as path.bak."""
+    """Writes beside `path`, then renames twice: readers see the old table, for the moment between the renames none, then the
+    new one, and never a part of one. The old one stays as path.bak. Where readers may never miss a table, write versions
+    (streaming.incremental)."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
     at = spark._jvm.org.apache.hadoop.fs.Path
