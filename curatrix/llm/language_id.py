@@ -31,11 +31,15 @@ from curatrix.llm.sentencepiece_codec import MARK, MODEL, NORMAL, parse
 
 #: Bounds of what is learned from: labelled texts a language, and rounds of expectation maximisation.
 SAMPLE, ROUNDS, SMOOTH = 3000, 3, 0.05
+#: Most languages whose limits go by broadcast.
+SMALL = 10_000
 #: Longest piece in characters, longest word taken whole (longer runs of letters are cut), words a worker remembers.
 LONGEST, WORD_CUT, CACHE = 12, 40, 500_000
 #: A letter as str.isalpha() has it: a word character that is neither a digit, a mark of its own, nor any other numeral.
 LETTER = f"[^\\W\\d_{re.escape(''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))}]"
 LETTERS = re.compile(f"{LETTER}+")
+#: Runs of letters and other numerals than digits, which is quicker; the few with a numeral are cut again.
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def vocabulary(model: str = MODEL) -> list[str]:
@@ -155,15 +159,22 @@ def lattice_of(key: str, pieces: list[str]) -> Lattice:
     return _lattices[key]
 
 
+def letter_runs(text: str) -> list[str]:
+    found = _RUNS.findall(text)
+    return found if all(map(str.isalpha, found)) else [y for x in found for y in ([x] if x.isalpha() else LETTERS.findall(x))]
+
+
 def split_words(text: str) -> list[str]:
-    return [MARK + x[i : i + WORD_CUT] for x in LETTERS.findall(text.lower()) for i in range(0, len(x), WORD_CUT)]
+    return [MARK + x[i : i + WORD_CUT] for x in letter_runs(text.lower()) for i in range(0, len(x), WORD_CUT)]
 
 
 def sample(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE) -> DataFrame:
     """At most `per_language` labelled texts of each language (more only where one id repeats), by the hash of their ids."""
     ok = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (crc_mod(df["doc_id"], 4) != 2)).withColumn("_h", F.xxhash64("doc_id", F.lit("language-sample")))
-    # One row for each language.
-    limits = least(ok.select(lang, "_h"), lang, "_h", per_language).groupBy(lang).agg(F.max("_h").alias("_m"))
+    # One row for each language; joined in place unless there are very many.
+    limits = spill(least(ok.select(lang, "_h"), lang, "_h", per_language).groupBy(lang).agg(F.max("_h").alias("_m")), "language-limits")
+    if limits.limit(SMALL + 1).count() <= SMALL:
+        limits = F.broadcast(limits)
     return ok.join(limits, lang).where("_h <= _m").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
 
@@ -226,7 +237,7 @@ class Scorer:
         flat: list[str] = []
         counts = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
-            found = LETTERS.findall(t.lower()) if t else []
+            found = letter_runs(t.lower()) if t else []
             if found and max(map(len, found)) > WORD_CUT:
                 found = [x[k : k + WORD_CUT] for x in found for k in range(0, len(x), WORD_CUT)]
             counts[i + 1] = len(found)

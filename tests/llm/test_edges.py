@@ -121,6 +121,7 @@ def test_mixing_of_rows_without_an_id(spark):
 
 def test_numerals_are_no_letters(spark):
     assert language_id.LETTERS.findall("a½b ② Ⅻ x² ٣ 12 _ word’s ß 中一") == ["a", "b", "x", "word", "s", "ß", "中一"]
+    assert language_id.letter_runs("a½b ② Ⅻ x² ٣ 12 _ word’s ß 中一") == ["a", "b", "x", "word", "s", "ß", "中一"]
     assert all(bool(language_id.LETTERS.fullmatch(c)) == c.isalpha() for c in map(chr, range(0x3000)))
     docs = spark.createDataFrame([(0, "½ ② Ⅻ"), (1, "²"), (2, "12 _"), (3, None), (4, "the")], "doc_id long, text string")
     pieces = language_id.vocabulary()
