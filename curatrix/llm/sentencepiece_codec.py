@@ -35,8 +35,8 @@ from curatrix.llm.common import table
 MARK = "▁"
 #: The vocabulary file of the query: a parameter, never copied.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct parts that a worker remembers; bytes of parts that are encoded as one text.
-CACHE, LINES = 500_000, 1 << 15
+#: Distinct parts that a worker remembers; bytes of parts that are encoded as one text; ids that are verified at once.
+CACHE, LINES, STEP = 500_000, 1 << 15, 1 << 16
 # Fixed values of the format: model kinds and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -244,15 +244,29 @@ class Codec:
         total = np.concatenate(([0], np.cumsum(sizes)))[first]
         return K.gather(self.ids, self.begin[at], sizes), np.diff(total)
 
-    def encode(self, texts: list[str], buf: np.ndarray | None = None, offs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """All ids one after the other, the number of ids of each text, and the ids text by text. `buf` and `offs` hold the
-        texts' bytes, if the caller has them."""
+    def flat(self, texts: list[str], buf: np.ndarray | None = None, offs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each text. `buf` and `offs` hold the texts' bytes, if the
+        caller has them."""
         if buf is None or self.model.charsmap or self.model.squeeze or _MARK_BYTES in buf.tobytes():
             raw = [self._normal(t).encode("utf-8", "surrogatepass") for t in texts]
             buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, raw)), dtype=np.int64)))
-        ids, n = self.encode_bytes(buf, offs)
+        return self.encode_bytes(buf, offs)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """As flat(), with the ids text by text."""
+        ids, n = self.flat(texts)
         return ids, n, _lists(ids, n)
 
+    def verified(self, texts: list[str], ids: np.ndarray, counts: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+        """parity of each text, and whether its ids decode to it; some texts at a time, as lists of ids are large."""
+        edge, parity, same = np.concatenate(([0], np.cumsum(counts))), [], []
+        cut = np.flatnonzero(np.diff(edge[1:] // step, prepend=-1, append=-1))
+        for a, b in zip(cut[:-1], cut[1:]):
+            lists = _lists(ids[edge[a] : edge[b]], counts[a:b])
+            parity.append(self.parity(texts[a:b], lists))
+            same += map(eq, self.decode(lists), texts[a:b])
+        return np.concatenate(parity) if parity else np.zeros(0, bool), np.array(same, bool)
+
     def parity(self, texts: list[str], lists: list[list[int]]) -> np.ndarray:
         """Whether sentencepiece gives each whole text the same ids."""
         return np.fromiter(map(eq, lists, self.reference.encode(texts, num_threads=1)), bool, len(texts))
@@ -293,10 +307,10 @@ def encode(df: DataFrame, model: str = MODEL, text: str = "text", carry: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data)
-        for rows, buf, offs in K.chunks(batches, text, 1 << 22):
+        for rows, buf, offs in K.chunks(batches, text, 1 << 21):
             texts = [x or "" for x in rows.column(rows.schema.get_field_index(text)).to_pylist()]
-            ids, counts, lists = c.encode(texts, buf, offs)
-            parity, same = c.parity(texts, lists), np.fromiter(map(eq, c.decode(lists), texts), bool, len(texts))
+            ids, counts = c.flat(texts, buf, offs)
+            parity, same = c.verified(texts, ids, counts)
             edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             made = [pa.array(counts), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), pa.array(parity), pa.array(same)]
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(k)) for k in keep] + made, [*keep, *new])
