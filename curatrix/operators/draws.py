@@ -58,17 +58,21 @@ def blocks(df: DataFrame, by: str, key: str, calibration: int, seed: str) -> Dat
 
 
 def unknown_pairs(known: DataFrame, a: str, b: str, least: int, n: int, seed: str) -> DataFrame:
-    """n pairs of well covered items (in at least `least` known pairs) that are not known. Items are tried in the order of
-    their lots with as many partners as are needed, so no full product is made: every item meets at most `width` others."""
+    """The first n pairs of well covered items (in at least `least` known pairs) that are not known, in the order of the
+    items' lots (of the later item, then of the earlier). Only as many items are paired as it takes to find n."""
     both = known.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct()
     ends = both.select(F.col("lo").alias("x")).unionByName(both.select(F.col("hi").alias("x")))
     covered = ends.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("x", dice("x", seed).alias("l"))
-    # Only the items of the first lots can be in the first n pairs; twice n items are a bound for the broadcast.
-    first = covered.orderBy("l", "x").limit(2 * n)
-    numbered = first.withColumn("i", F.row_number().over(Window.orderBy("l", "x")))
-    l, r = numbered.alias("l"), numbered.alias("r")
-    near = l.join(F.broadcast(r), (F.col("l.i") < F.col("r.i")) & (F.col("r.i") <= F.col("l.i") + n)).select(F.least("l.x", "r.x").alias("lo"), F.greatest("l.x", "r.x").alias("hi"), F.col("l.i").alias("i"), F.col("r.i").alias("j"))
-    return near.join(both, ["lo", "hi"], "left_anti").orderBy(F.col("j") - F.col("i"), "i").limit(n).select("lo", "hi")
+    total, items = covered.count(), 8 + 2 * int((2 * n) ** 0.5)
+    while True:
+        # `items` rows, whatever the table's size, unless nearly all pairs are known.
+        numbered = covered.orderBy("l", "x").limit(items).withColumn("i", F.row_number().over(Window.orderBy("l", "x")))
+        l, r = numbered.alias("l"), numbered.alias("r")
+        pairs = l.join(r, F.col("l.i") < F.col("r.i")).select(F.least("l.x", "r.x").alias("lo"), F.greatest("l.x", "r.x").alias("hi"), F.col("l.i").alias("i"), F.col("r.i").alias("j"))
+        found = pairs.join(both, ["lo", "hi"], "left_anti")
+        if items >= total or found.limit(n).count() >= n:
+            return found.orderBy("j", "i").limit(n).select("lo", "hi")
+        items *= 2
 
 
 def topped_up(kept: DataFrame, pool: DataFrame, key: str, safe: str, share: float, variance: str, seed: str) -> DataFrame:

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.functions import semi
 from curatrix.functions.text import words
@@ -34,7 +35,7 @@ def set_difference(a: Column, b: Column) -> Column:
     return F.sort_array(F.array_union(F.array_except(a, b), F.array_except(b, a)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching characters of two texts, twice over their lengths (longest matching blocks, which no built-in finds)."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")

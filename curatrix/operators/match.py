@@ -39,8 +39,9 @@ def longest(c: Column, names: Sequence[str]) -> Column:
 
 def longest_prefix(words: Column, vocabulary: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """The longest run of leading words that is in the vocabulary (column name), for each key."""
-    prefixes = F.transform(words, lambda _, i: F.struct((i + 1).alias("k"), F.array_join(F.slice(words, 1, i + 1), " ").alias("name")))
-    return df.select(key, F.explode(prefixes).alias("p")).select(key, "p.k", "p.name").join(vocabulary, "name").groupBy(key).agg(F.max_by("name", "k").alias("name"))
+    prefixes = F.transform(words, lambda _, i: F.struct((i + 1).alias("_k"), F.array_join(F.slice(words, 1, i + 1), " ").alias("_name")))
+    met = df.select(key, F.explode(prefixes).alias("_p")).select(key, "_p._k", "_p._name").join(vocabulary.select(F.col("name").alias("_name")), "_name")
+    return met.groupBy(key).agg(F.max_by("_name", "_k").alias("name"))
 
 
 def worst_pair(df: DataFrame, a: str, b: str, rank: Column) -> DataFrame:

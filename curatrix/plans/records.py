@@ -45,8 +45,8 @@ def calibration_blocks(t):
 
 
 @query(f"""WITH p AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi FROM lineitem WHERE l_partkey <> l_suppkey), e AS (SELECT lo AS x FROM p UNION ALL SELECT hi FROM p), c AS (SELECT x FROM e GROUP BY 1 HAVING count(*) >= 5),
-f AS (SELECT x, row_number() OVER (ORDER BY {_LOT.format(s='neg', k='x')}, x) AS i FROM c), n AS (SELECT * FROM f WHERE i <= 80), w AS (SELECT least(a.x, b.x) AS lo, greatest(a.x, b.x) AS hi, a.i AS i, b.i AS j FROM n a JOIN n b ON a.i < b.i AND b.i <= a.i + 40)
-SELECT lo, hi FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.lo = w.lo AND p.hi = w.hi) ORDER BY j - i, i LIMIT 40""")
+f AS (SELECT x, row_number() OVER (ORDER BY {_LOT.format(s='neg', k='x')}, x) AS i FROM c), w AS (SELECT least(a.x, b.x) AS lo, greatest(a.x, b.x) AS hi, a.i AS i, b.i AS j FROM f a JOIN f b ON a.i < b.i WHERE b.i <= 400)
+SELECT lo, hi FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.lo = w.lo AND p.hi = w.hi) ORDER BY j, i LIMIT 40""")
 def negative_pairs(t):
     return draws.unknown_pairs(t.lineitem, "l_partkey", "l_suppkey", 5, 40, "neg")
 
