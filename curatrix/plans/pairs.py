@@ -126,20 +126,20 @@ def _scores_sql(restarts: int) -> str:
     return (
         "WITH g AS (SELECT o_custkey AS k, count(*) AS n, sum((o_orderstatus = 'F')::INT) AS u, " + ", ".join(f"sum(({m})::INT) AS p{i}" for i, m in enumerate(_MARKS)) + " FROM orders GROUP BY 1), "
         f"x AS (SELECT *, {_share_sql('r', 'k')} AS x FROM g, range(0, {restarts}) AS t(r)), h AS (SELECT r, CASE WHEN x < 0.75 THEN 0 WHEN x < 0.85 THEN 1 ELSE 2 END AS part, sum(n)::DOUBLE AS n, sum(u)::DOUBLE AS u, " + ", ".join(f"sum(p{i})::DOUBLE AS p{i}" for i in range(len(_MARKS))) + " FROM x GROUP BY ALL), "
-        f"c AS (SELECT r, 100.0 * abs(n - (CASE part WHEN 0 THEN 0.75 WHEN 1 THEN 0.10 ELSE 0.15 END)::DOUBLE * sum(n) OVER w) / sum(n) OVER w + {_COST} + 2.0 * abs(u / greatest(n, 1) - sum(u) OVER w / sum(n) OVER w) AS x FROM h WINDOW w AS (PARTITION BY r)) SELECT r::INT AS restart, round(sum(x) + 1e-9, 6) AS score FROM c GROUP BY 1"
+        f"c AS (SELECT r, 100.0 * abs(n - (CASE part WHEN 0 THEN 0.75 WHEN 1 THEN 0.10 ELSE 0.15 END)::DOUBLE * sum(n) OVER w) / sum(n) OVER w + {_COST} + 2.0 * abs(u / greatest(n, 1) - sum(u) OVER w / sum(n) OVER w) AS x FROM h WINDOW w AS (PARTITION BY r)) SELECT r::INT AS restart, round(round(sum(x), 9) + 2e-10, 6) AS score FROM c GROUP BY 1"
     )
 
 
 @query(_scores_sql(40))
 def split_search_scores(t):
     """The objective of forty restarts; orders grouped by customer, so that no customer is in two parts."""
-    return search.scores(_customers(t), "o_custkey", len(_MARKS), 40, "search").withColumn("score", F.round(F.col("score") + 1e-9, 6))
+    return search.scores(_customers(t), "o_custkey", len(_MARKS), 40, "search").withColumn("score", F.round(F.col("score") + 2e-10, 6))
 
 
 @query(_scores_sql(400))
 def split_search_scores_400(t):
     """With the reference's number of restarts."""
-    return search.scores(_customers(t), "o_custkey", len(_MARKS), 400, "search").withColumn("score", F.round(F.col("score") + 1e-9, 6))
+    return search.scores(_customers(t), "o_custkey", len(_MARKS), 400, "search").withColumn("score", F.round(F.col("score") + 2e-10, 6))
 
 
 def _split(t, restarts: int):
