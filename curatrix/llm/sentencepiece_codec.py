@@ -36,7 +36,7 @@ MARK = "▁"
 #: The vocabulary file of the query: a parameter, never copied.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct parts that a worker remembers; bytes of parts that are encoded as one text; ids that are verified at once.
-CACHE, LINES, STEP = 500_000, 1 << 15, 1 << 16
+CACHE, LINES, STEP = 500_000, 1 << 15, 1 << 18
 # Fixed values of the format: model kinds and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -307,7 +307,7 @@ def encode(df: DataFrame, model: str = MODEL, text: str = "text", carry: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data)
-        for rows, buf, offs in K.chunks(batches, text, 1 << 21):
+        for rows, buf, offs in K.chunks(batches, text, 1 << 22):
             texts = [x or "" for x in rows.column(rows.schema.get_field_index(text)).to_pylist()]
             ids, counts = c.flat(texts, buf, offs)
             parity, same = c.verified(texts, ids, counts)
