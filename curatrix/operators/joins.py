@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +71,28 @@ def pairs_where(df: DataFrame, key: str, equal: Sequence[str], rule) -> DataFram
     return met.where(rule(column("l"), column("r"))).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), *(F.col(f"l.{c}").alias(c) for c in equal))
 
 
+def pairs_alike(df: DataFrame, key: str, equal: Sequence[str], same: str, within: Mapping[str, float], rule) -> DataFrame:
+    """a, b of rows that are equal in the given columns, and whose column same is equal or for which rule(left, right) holds.
+
+    within: the columns that the rule compares, each with a distance beyond which the rule never holds. Rows are put into
+    cells of these widths, and one meets those of its own and of the neighbouring cells, not its whole group: what is
+    compared grows with the pairs that come out, in whose number groups of copies are squares."""
+    some = df.select(key, *equal, same, *within)
+    cell = lambda x, w: F.floor(x / w)
+    number = {c: F.col(c).cast("double") for c in within}
+    placed = some.select("*", *(cell(number[c], w).alias(f"_at_{c}") for c, w in within.items()))
+    around = some
+    for c, w in within.items():
+        around = around.withColumn(f"_at_{c}", F.explode(F.sequence(cell(number[c] - w, w), cell(number[c] + w, w))))
+    out = [F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), *(F.col(f"l.{c}").alias(c) for c in equal)]
+    column = lambda side: lambda c: F.col(f"{side}.{c}")
+    # Merged, not broadcast: Spark guesses sizes by the files, without the exploded cells.
+    met = lambda left, right, cols: left.alias("l").hint("merge").join(right.alias("r"), [*(F.col(f"l.{c}") == F.col(f"r.{c}") for c in cols), F.col(f"l.{key}") < F.col(f"r.{key}")])
+    named = met(some, some, [*equal, same])
+    near = met(around, placed, [*equal, *(f"_at_{c}" for c in within)]).where(rule(column("l"), column("r")) & ~F.coalesce(F.col(f"l.{same}") == F.col(f"r.{same}"), F.lit(False)))
+    return named.select(*out).unionByName(near.select(*out))
+
+
 def closest(a: DataFrame, x: str, b: DataFrame, y: str, within: float, key: str, other: str) -> DataFrame:
     """For each row of a the row of b that is nearest within a tolerance (an exact hit is), the smaller key of two."""
     left = a.withColumn("_b", F.floor(F.col(x) / within))

@@ -80,3 +80,22 @@ def test_longest_prefix(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"])], "k long, w array<string>")
     names = spark.createDataFrame([("a",), ("a b",), ("b c",)], "name string")
     assert [tuple(r) for r in match.longest_prefix(F.col("w"), names, df, "k").collect()] == [(1, "a b")]
+
+
+def test_alike_pairs_meet_their_cells_only(spark, tmp_path):
+    """The pairs of the plain rule, by hand, from joins by name and by cell: none on the group alone, whose pairs are its square."""
+    import re
+    from itertools import combinations
+
+    from curatrix.plans import registry
+
+    numbers = [(1, 900.0), (2, 904.99), (2, 905.0), (3, 909.9999999), (0, -2.5), (1, 2.4999), (-1, 2.5), (2, -2.5), (1, float("nan")), (1, None), (None, 900.0), (50, 1e17), (50, 1e17 + 16), (1, 900.0), (1, 900.0)]
+    rows = [(i, None if i % 7 == 6 else f"n{i % 4}", None if i == 20 else "b", f"t{i % 2}", *numbers[i % len(numbers)]) for i in range(45)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    none = lambda *x: any(v is None for v in x)
+    near = lambda a, b: not none(a[4], b[4], a[5], b[5]) and abs(a[4] - b[4]) <= 1 and abs(a[5] - b[5]) < 5
+    want = [(a[0], b[0], a[2], a[3]) for a, b in combinations(rows, 2) if not none(a[2], b[2]) and a[2:4] == b[2:4] and (a[1] is not None and a[1] == b[1] or near(a, b))]
+    got = registry.queries()["weighted_pair_rule"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+    joined = re.findall(r"Join \[([^\]]*)\], \[", got._jdf.queryExecution().executedPlan().toString())
+    assert joined and all("p_name" in keys or "_at_" in keys for keys in joined)
