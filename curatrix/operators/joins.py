@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _range_of(value: Column, ends: Sequence, first: int = 0) -> Column:
+    """How many of the sorted ends lie below a value, by halves."""
+    if not ends:
+        return F.lit(first)
+    m = len(ends) // 2
+    return F.when(value > F.lit(ends[m]), _range_of(value, ends[m + 1 :], first + m + 1)).otherwise(_range_of(value, ends[:m], first))
+
+
 def running(df: DataFrame, order: str, sums: Sequence[str], parts: int, descending: bool = False) -> DataFrame:
     """Adds `upto_<c>` for each of the columns: its sum over all rows up to this one in the order of a column (rows of equal
-    order in any order). Rows are dealt by ranges and summed there; the ranges' totals, one row each, give the starts."""
-    by = F.col(order).desc() if descending else F.col(order).asc()
-    dealt = df.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id())
+    order in any order, those without one last). Rows are dealt by ranges and summed there; the ranges' totals, one row each,
+    give the starts. The ranges' ends are found first, as two reads of a range shuffle may draw different ones."""
+    drawn = df.select(order).where(F.col(order).isNotNull()).repartitionByRange(parts, order).groupBy(F.spark_partition_id()).agg(F.max(order).alias("end"))
+    ends = sorted((r.end for r in drawn.collect()), key=lambda x: (x != x, x))[:-1]
+    place = _range_of(F.col(order), ends)
+    dealt = df.withColumn("_part", F.when(F.col(order).isNull(), parts).otherwise(-place if descending else place))
+    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
     w = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = dealt.select("*", *(F.sum(c).over(w).alias(f"_in_{c}") for c in sums))
     totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))

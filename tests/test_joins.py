@@ -99,3 +99,22 @@ def test_alike_pairs_meet_their_cells_only(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
     joined = re.findall(r"Join \[([^\]]*)\], \[", got._jdf.queryExecution().executedPlan().toString())
     assert joined and all("p_name" in keys or "_at_" in keys for keys in joined)
+
+
+def test_positions_of_many_rows(spark, tmp_path):
+    """So many rows that ranges are drawn from a sample: the ends must be those of the totals, in every evaluation."""
+    from curatrix.plans import registry
+
+    n = 30000
+    df = spark.range(0, n, 1, 6).select((F.col("id") * 7919 % n * 3).alias("k"), F.col("id").cast("string").alias("other"))
+    for parts in (2, 8):
+        placed = joins.positions(df, "k", parts)
+        assert placed.where("idx <> k / 3").count() == 0 and placed.select("idx", "other").agg(F.count_distinct("idx"), F.max("idx")).first()[:] == (n, n - 1)
+    down = joins.running(df.withColumn("one", F.lit(1)), "k", ["one"], 8, descending=True)
+    assert down.where(f"upto_one <> {n} - k / 3").count() == 0
+    labels = df.select(F.col("k").alias("doc_id"), (F.col("k") / 3 % 2).cast("int").alias("quality"))
+    labels.union(spark.createDataFrame([(None, 1)], labels.schema)).write.parquet(str(tmp_path / "labels.parquet"))
+    events = spark.range(-3, 2 * n).select(F.when(F.col("id") > -3, F.col("id")).alias("event_id"), F.when(F.col("id") % 2 == 1, 60.0).otherwise(40.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    # The row without an id is the last one, at position n; a negative or absent position is neither met nor out of range.
+    assert registry.queries()["predictions_by_position"](spark, str(tmp_path)).collect() == [(n + 1, n, n - 1)]
