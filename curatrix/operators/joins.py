@@ -39,6 +39,18 @@ def positions(df: DataFrame, order: str, parts: int, name: str = "idx") -> DataF
     return running(df.withColumn("one", F.lit(1).cast("long")), order, ["one"], parts).select(*df.columns, (F.col("upto_one") - 1).alias(name))
 
 
+def in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
+    """One row a group with aggregates that take its rows one after another in the order of some columns.
+
+    Sums of floats depend on the order of their terms in the last digits, and so does what is compared or rounded just there. In
+    this order results are the same for any partitions, and those of a database that reads the rows in order with one thread.
+    A group streams through one task, as its sum is one chain; nothing of it is collected."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.select(*by, *(c.over(upto).alias(n) for n, c in aggregates.items()), F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    return rows.where("_last").drop("_last")
+
+
 def aligned(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
     """Two tables side by side by key: what was once lined up by sorting both, without trusting their order."""
     named = lambda df, s: df.select(key, *(F.col(c).alias(c + s) for c in df.columns if c != key))

@@ -118,3 +118,26 @@ def test_positions_of_many_rows(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     # The row without an id is the last one, at position n; a negative or absent position is neither met nor out of range.
     assert registry.queries()["predictions_by_position"](spark, str(tmp_path)).collect() == [(n + 1, n, n - 1)]
+
+
+@pytest.mark.parametrize(
+    "name, table, made",
+    [
+        ("audit_diff", "orders", "SELECT i AS o_orderkey, CASE WHEN i % 5000 > 0 THEN i * 7919 % 3000 END AS o_custkey, (hash(i) % 49900000 + 100191) / 100.0 AS o_totalprice FROM range(30000) r(i)"),
+    ],
+)
+def test_sums_in_order(spark, tmp_path, name, table, made):
+    """Differences of 1 exactly and means that end in a half: rows in any order over any partitions give what SQL gives in order."""
+    import duckdb
+
+    from curatrix.plans import registry
+
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create table {table} as {made}")
+    con.execute(f"copy {table} to '{tmp_path}/ordered.parquet'")
+    order = [c[0] for c in con.execute(f"describe {table}").fetchall()][0]
+    spark.read.parquet(f"{tmp_path}/ordered.parquet").orderBy(F.md5(F.col(order).cast("string"))).repartition(7).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
