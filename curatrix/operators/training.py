@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import audit, semi, text
+from curatrix.operators import joins
 from curatrix.operators.generated import pretty
 
 # The weights of the reward's terms, the budget of tokens, and the share of category credit under a wrong
@@ -50,11 +51,16 @@ def ceiling(decisive: Column, targets: Sequence[str] = (), weights: Mapping[str,
     return F.round(F.when(decisive.isNull(), w["verdict"] + w["decisive"] + w["schema"]).when(decisive.isin(*targets or [""]), full + w["bonus"]).otherwise(full), 9)
 
 
-def mined(samples: DataFrame, key: str, value: str, hard: float, unstable: float) -> DataFrame:
-    """Per scenario: n, mean, variance and range of its samples' rewards, and why it is kept (null: it isn't)."""
+def mined(samples: DataFrame, key: str, order: str, value: str, hard: float, unstable: float) -> DataFrame:
+    """Per scenario: n, mean, variance and range of its samples' rewards, added up in the samples' order, and why it is kept
+    (null: it isn't)."""
     v = F.col(value)
-    reason = F.when(F.count(F.lit(1)) < 2, None).when(F.max(v) - F.min(v) < 1e-6, None).when(F.avg(v) < hard, "hard").when(F.var_pop(v) > unstable, "unstable")
-    return samples.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.var_pop(v), 6).alias("variance"), F.round(F.max(v) - F.min(v), 6).alias("gap"), reason.alias("reason"))
+    g = joins.in_order(samples, [key], [order, value], {"n": F.count(F.lit(1)), "_mean": F.avg(v), "_variance": F.var_pop(v), "_most": F.max(v), "_least": F.min(v)})
+    gap = F.col("_most") - F.col("_least")
+    # As databases round: means of few samples are often exact halves, and a digit lost below one would round it down.
+    six = lambda c: F.round(c * 1e6) / 1e6
+    reason = F.when(F.col("n") < 2, None).when(gap < 1e-6, None).when(F.col("_mean") < hard, "hard").when(F.col("_variance") > unstable, "unstable")
+    return g.select(key, "n", six(F.col("_mean")).alias("mean"), six(F.col("_variance")).alias("variance"), six(gap).alias("gap"), reason.alias("reason"))
 
 
 def with_reference(samples: DataFrame, key: str, order: str, value: str, wrong: Column) -> DataFrame:

@@ -130,7 +130,7 @@ def reward_mining(t):
     s, g = F.col("event_id") % 8, F.col("user_id") % 8
     safe = F.when(F.col("value") > 90, s != 0).otherwise(s == 0)
     r = training.reward(F.col("value") >= 5, safe, g == 0, some(s), some(g), F.lit(None).cast("string"), F.lit(True), F.lit(100))
-    return training.mined(t.events.select("user_id", r["total"].alias("r")), "user_id", "r", 0.5, 0.6)
+    return training.mined(t.events.select("user_id", "event_id", r["total"].alias("r")), "user_id", "event_id", "r", 0.5, 0.6)
 
 
 _set = lambda c: F.array_remove(F.split(c, ";"), "")

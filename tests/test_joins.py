@@ -124,6 +124,7 @@ def test_positions_of_many_rows(spark, tmp_path):
     "name, table, made",
     [
         ("audit_diff", "orders", "SELECT i AS o_orderkey, CASE WHEN i % 5000 > 0 THEN i * 7919 % 3000 END AS o_custkey, (hash(i) % 49900000 + 100191) / 100.0 AS o_totalprice FROM range(30000) r(i)"),
+        ("reward_mining", "events", "SELECT i AS event_id, i * 7919 % 400 AS user_id, (hash(i) % 10000) / 90.0 AS value FROM range(400 * 64) r(i)"),
     ],
 )
 def test_sums_in_order(spark, tmp_path, name, table, made):
